@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finstrata.llm import canonical_values, eval_leaks, repeated_lines, residue, survivorship
+from finstrata.llm import canonical_values, eval_leaks, name_variants, repeated_lines, residue, survivorship
 from finstrata.runtime import table
 
 FACT_FIELDS = ["normalized_value", "page_number", "fiscal_period"]
@@ -46,6 +46,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.variant_pairs(table(spark, d, "report_documents"))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling of either table with its company, named by its smallest spelling."""
+    names = table(spark, d, "report_documents").select("company_name").unionByName(table(spark, d, "documents").select("company_name"))
+    entities = name_variants.company_entities(names)
+    return entities.join(entities.groupBy("entity").agg(F.min("name").alias("company"), F.count(F.lit(1)).alias("n_spellings")), "entity").drop("entity")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.dominating_rows(survivorship.fact_keys(table(spark, d, "prepared_rows")), "fact_id", FACT_FIELDS)
 
@@ -65,5 +76,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_found, p7_found, p7_survivors, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_found, p5_found, p5_entities, p7_found, p7_survivors, p9_found, p10_found)}
 SQL: dict[str, str] = {}
