@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finstrata.llm.confusions import fold
+from finstrata.runtime import cut
 
 #: A source's set of frequent keys is copied this many times at most, so that a source with a third of all pages is spread.
 SPREAD = 64
@@ -92,7 +93,7 @@ def _with_frequent(keyed: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def repeated_line_occurrences(pages: DataFrame, min_letters: int = 12, min_pages: int = 4, min_share: float = 1 / 3) -> DataFrame:
     """page_id, line_no of each line whose key is frequent in its source."""
-    keyed = line_keys(pages, min_letters)
+    keyed = cut(line_keys(pages, min_letters))  # read twice below: folding the texts costs more than writing their keys
     hit = _with_frequent(keyed, frequent_lines(keyed, min_pages, min_share))
     is_frequent = lambda x: F.array_contains("frequent", x["key"]) | F.coalesce(F.array_contains("frequent", x["other"]), F.lit(False))
     return hit.select("page_id", F.explode(F.filter("lines", is_frequent)).alias("line")).select("page_id", F.col("line.line_no").alias("line_no"))
@@ -100,7 +101,7 @@ def repeated_line_occurrences(pages: DataFrame, min_letters: int = 12, min_pages
 
 def frequent_sequences(pages: DataFrame, min_letters: int = 12, min_pages: int = 4, min_share: float = 1 / 3, max_length: int = 3) -> DataFrame:
     """document_id, sequence (keys in page order), support: the PrefixSpan patterns up to max_length lines."""
-    keyed = line_keys(pages, min_letters)
+    keyed = cut(line_keys(pages, min_letters))
     frequent = frequent_lines(keyed, min_pages, min_share)
     # the database, reduced to frequent keys: all that any longer sequence can be made of
     items = _with_frequent(keyed, frequent).select(
@@ -132,10 +133,10 @@ def frequent_sequences(pages: DataFrame, min_letters: int = 12, min_pages: int =
 def without_repeated_lines(pages: DataFrame, **options) -> DataFrame:
     """page_id and text of every page without its repeated lines; pages with none of them keep their text as it is."""
     min_letters = options.pop("min_letters", 12)
-    keyed = line_keys(pages, min_letters)
+    keyed = cut(keyed_with_text(pages, min_letters))
     sets = frequent_lines(keyed, **options).groupBy("document_id").agg(F.collect_set("key").alias("frequent"), F.first("copies").alias("copies"))
     sets = sets.select(F.col("document_id").alias("d"), "frequent", F.explode("copies").alias("copy"))
-    texts = keyed_with_text(pages, min_letters).join(
+    texts = keyed.join(
         sets, F.col("document_id").eqNullSafe(F.col("d")) & (_copy_of(F.col("page_number")) == F.col("copy")), "left"
     )
     bad = lambda x: F.coalesce(F.array_contains("frequent", x["key"]), F.lit(False)) | F.coalesce(F.array_contains("frequent", x["other"]), F.lit(False))
