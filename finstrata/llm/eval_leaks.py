@@ -131,11 +131,14 @@ class ItemIndex:
             if not len(k):
                 return
             # regions: q-grams of one band whose next one is less than a window away
-            cut = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] - p[:-1] > self.window)) + 1
-            todo = list(zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(k)])).tolist()))
+            apart = self.window if self.edits else 1
+            cut = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] - p[:-1] > apart)) + 1
+            first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)]))
+            enough = last - first >= self.bound
+            todo = list(zip(first[enough].tolist(), last[enough].tolist()))
             while todo:
                 s, e = todo.pop()
-                if len(np.unique(p[s:e])) < self.bound:
+                if e - s < self.bound or len(np.unique(p[s:e])) < self.bound:
                     continue
                 it = int(k[s] // (len(a) + 2 * self.longest + 4 * half))
                 p0, p1, q0, q1 = int(p[s]), int(p[e - 1]) + Q, int(q[s:e].min()), int(q[s:e].max()) + Q
