@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finstrata.llm import canonical_values, eval_leaks, name_variants, repeated_lines, residue, survivorship
+from finstrata.llm import canonical_values, eval_leaks, languages, name_variants, page_noise, repeated_lines, residue, survivorship
 from finstrata.runtime import table
 
 FACT_FIELDS = ["normalized_value", "page_number", "fiscal_period"]
@@ -46,6 +46,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.foreign_paragraphs(table(spark, d, "parsed_pages"))
+
+
+def p3_pages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.page_languages(table(spark, d, "parsed_pages"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_noise.noisy_lines(table(spark, d, "parsed_pages"))
+
+
+def p4_readable(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "parsed_pages")
+    return page_noise.readable_pages(pages, repeated_lines.repeated_line_occurrences(pages))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return name_variants.variant_pairs(table(spark, d, "report_documents"))
 
@@ -76,5 +93,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_found, p5_found, p5_entities, p7_found, p7_survivors, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_found, p3_found, p3_pages, p4_found, p4_readable, p5_found, p5_entities, p7_found, p7_survivors, p9_found, p10_found)}
 SQL: dict[str, str] = {}

@@ -10,8 +10,10 @@ from finstrata.llm.confusions import CONFUSIONS
 #: Cost of one edit; what a keyboard, a scanner or a missing accent does often costs less.
 PLAIN, SWAP, CONFUSED, ACCENT = 1.0, 0.8, 0.4, 0.2
 _ACCENTS = dict(zip("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿæœß", "aaaaaaceeeeiiiinoooooouuuuyyaos"))
-_CONFUSED = {frozenset(p) for p in CONFUSIONS if len(p[1]) == 1}
-_PAIRS = {(a, b) for a, b in CONFUSIONS if len(b) == 2}
+#: ª stands for an @ within a word, see page_noise.
+_CONFUSED = {frozenset(p) for p in CONFUSIONS if len(p[0]) == len(p[1]) == 1} | {frozenset("aª")}
+#: (one character, two characters), whichever of them was printed
+_PAIRS = {(a, b) for a, b in CONFUSIONS if len(b) == 2} | {(b, a) for a, b in CONFUSIONS if len(a) == 2}
 
 
 def deletes(text: str, most: int) -> set[str]:
