@@ -17,6 +17,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finstrata.functions.units import PLAIN, read_number, read_units
 
@@ -25,7 +26,10 @@ TRAIN_ROWS = 20_000
 #: A predicted scale is used if rows predicted as surely were right this often on held-out rows.
 CONFIDENT = 0.9
 SCALE_CLASSES = [1, 10**3, 10**6, 10**8, 10**9]
-_READ = "number string, currency_code string, minor int, scale_value long, is_plain boolean"
+_READ = T.StructType([
+    T.StructField("number", T.StringType()), T.StructField("currency_code", T.StringType()), T.StructField("minor", T.IntegerType()),
+    T.StructField("scale_value", T.LongType()), T.StructField("is_plain", T.BooleanType()),
+])
 
 
 @F.pandas_udf(_READ)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from finstrata.plans import units
+from finstrata.plans import text, units
 
-_MODULES = (units,)
+_MODULES = (text, units)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
