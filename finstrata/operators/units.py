@@ -93,7 +93,9 @@ def predict_scales(rows: DataFrame, row_id: str, group: str, trees: int = 40, tr
     index = F.array_position(F.array(*[F.lit(s) for s in SCALE_CLASSES]), F.col("unit.scale_value")).cast("double") - 1
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_features(rows.where(F.col("unit.number").isNotNull()), group))
     hashed = vectors.where(F.col("unit.scale_value").isNotNull()).withColumn("label", index).withColumn("_h", F.xxhash64(row_id))
-    bounded = hashed.where(F.col("label") >= 0).orderBy("_h").limit(train_rows).select(row_id, "label", "features", F.pmod("_h", F.lit(5)).alias("fold")).persist()
+    share = min(1.0, 4 * train_rows / max(1, rows.count()))
+    low = hashed.where((F.col("label") >= 0) & (F.col("_h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)))
+    bounded = low.orderBy("_h").limit(train_rows).select(row_id, "label", "features", F.pmod("_h", F.lit(5)).alias("fold")).persist()
     try:
         model = RandomForestClassifier(numTrees=trees, maxDepth=10, seed=7).fit(bounded.where("fold > 0"))
         sure = F.array_max(vector_to_array("probability"))
