@@ -53,6 +53,16 @@ _SEED = {
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Two or more capitalised words in a row: most likely a name, whose words may be of any language.
+_NAME = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-Þ][^\W\d_]*[a-zß-ÿ](?:[\s&\-]+(?:and\s+)?[A-ZÀ-ÖØ-Þ][^\W\d_]*[a-zß-ÿ])+")
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-case words of a text without those of names, unless little else is left."""
+    bare = _WORD.findall(_NAME.sub(" ", text).lower())
+    return bare if len(bare) >= 5 else _WORD.findall(text.lower())
+
+
 def label_code(label: str | None) -> str | None:
     """The language that a label names, in two letters."""
     head = re.split(r"[-_(]", label.strip().lower(), maxsplit=1)[0].strip() if label else ""
@@ -128,7 +138,7 @@ class LanguageModel:
         cached: dict[str, list[int]] = {}
         samples = []
         for t in texts:
-            ids = [i for w in _WORD.findall(t.lower()) for i in (cached.get(w) or cached.setdefault(w, ngram_ids(w)))]
+            ids = [i for w in words_of(t) for i in (cached.get(w) or cached.setdefault(w, ngram_ids(w)))]
             u, c = np.unique(np.array(ids, np.int64), return_counts=True)
             samples.append((u, (c / max(1, c.sum())).astype(np.float32)))
         seen = np.full(self.weights.shape, 1e-6, np.float32)
@@ -169,7 +179,7 @@ class LanguageModel:
         get, new = self.slots.get, self._slot
         for t in texts:
             starts.append(len(slots))
-            for w in _WORD.findall(t.lower()):
+            for w in words_of(t):
                 s = get(w)
                 slots.append(new(w) if s is None else s)
             slots.append(-1)
@@ -193,8 +203,11 @@ class LanguageModel:
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, classes: tuple[str, ...] = LANGUAGES) -> LanguageModel:
     """Fit on the labelled paragraphs of at most train_pages pages."""
-    labelled = pages.where(F.col("language").isNotNull() & (F.trim("language") != "") & (F.length("text") >= 80))
-    sample = labelled.select("language", "text", F.xxhash64("id").alias("h")).orderBy("h", "text").limit(train_pages).select("language", "text").collect()
+    # only hashes below a share of their range are looked at, so that no task returns more than its part of the sample
+    share = min(1.0, 4 * train_pages / max(1, pages.count()))
+    labelled = pages.where(F.col("language").isNotNull() & (F.trim("language") != "") & (F.length("text") >= 80)).withColumn("h", F.xxhash64("id"))
+    within = labelled.where(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+    sample = within.select("language", "text", "h").orderBy("h", "text").limit(train_pages).select("language", "text").collect()
     texts, labels, folds = [], [], []
     for k, r in enumerate(sample):
         code = label_code(r.language)
