@@ -122,7 +122,7 @@ def near_pages(left: DataFrame, right: DataFrame, key: str, page: str, width: in
 
 
 def select_with_neighbours(df: DataFrame, key: str, page: str, score: str, limit: int = 15, threshold: float = 4.0) -> DataFrame:
-    """Greedy choice of pages: by falling score; a page of at least `threshold` brings the pages beside it that score above 0.
+    """Greedy choice of pages above 0: by falling score; a page of at least `threshold` brings the pages beside it that score above 0.
 
     Folds over (page, score) pairs of one document, which are small; scores are compared as given.
     """
@@ -140,7 +140,8 @@ def select_with_neighbours(df: DataFrame, key: str, page: str, score: str, limit
         around = F.array(F.struct(x["page"].alias("n"), (-x["neg"] > 0).alias("ok")), *[
             F.struct(beside(k).alias("n"), ((-x["neg"] >= threshold) & (F.coalesce(F.try_element_at(F.col("scores"), beside(k)), F.lit(0.0)) > 0)).alias("ok")) for k in (-1, 1)
         ])
-        return F.aggregate(around, chosen, lambda c, y: add(c, y["n"], y["ok"]))
+        # a page that came in beside another one brings no neighbours of its own
+        return F.when(F.array_contains(chosen, x["page"]), chosen).otherwise(F.aggregate(around, chosen, lambda c, y: add(c, y["n"], y["ok"])))
 
     chosen = F.aggregate("ranked", F.array().cast("array<int>"), step)
     return pairs.withColumn("scores", scores).select(key, F.explode(chosen).alias(page))
