@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from finstrata.plans import rows, text, units
+from finstrata.plans import pages, rows, text, units, validate
 
-_MODULES = (text, rows, units)
+_MODULES = (text, rows, pages, validate, units)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
