@@ -129,3 +129,8 @@ def marker_language(text: Column, markers: dict[str, Sequence[str]] | None = Non
     most = F.array_max(F.transform(counted, lambda x: x["n"]))
     top = F.filter(counted, lambda x: x["n"] == most)
     return F.when((most > 0) & (F.size(top) == 1), F.element_at(top, 1)["code"]).otherwise(F.lit("unknown"))
+
+
+def low_text_count(text: Column) -> Column:
+    """How many letters and digits a text has."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]", ""))

@@ -8,7 +8,7 @@ rest is routed to review.
 Edge cases: null, empty or wordless values (n/a, a dash) hold no number and give no amount; a number in
 hundredths of a currency is divided by 100; a stated minor unit without a scale is in ones; conflicting
 statements go by value text, then scale column, then currency column, then notes; repeated rows are
-converted alike; extra columns pass through.
+converted alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,6 +96,9 @@ def predict_scales(rows: DataFrame, row_id: str, group: str, trees: int = 40, tr
     share = min(1.0, 4 * train_rows / max(1, rows.count()))
     low = hashed.where((F.col("label") >= 0) & (F.col("_h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)))
     bounded = low.orderBy("_h").limit(train_rows).select(row_id, "label", "features", F.pmod("_h", F.lit(5)).alias("fold")).persist()
+    if bounded.where("fold > 0").select("label").distinct().count() < 2:  # nothing to tell apart
+        bounded.unpersist()
+        return vectors.where(F.lit(False)).select(row_id, F.lit(None).cast("long").alias("predicted_scale"), F.lit(0.0).alias("confidence"))
     try:
         model = RandomForestClassifier(numTrees=trees, maxDepth=10, seed=7).fit(bounded.where("fold > 0"))
         sure = F.array_max(vector_to_array("probability"))
@@ -119,7 +122,7 @@ def predict_scales(rows: DataFrame, row_id: str, group: str, trees: int = 40, tr
 
 def harmonise(rows: DataFrame, row_id: str = "gold_id", group: str = "document_name", confident: float = CONFIDENT) -> DataFrame:
     """row id, currency_code, amount, unit_source (stated, predicted or review), confidence, is_plain of every row that holds a number."""
-    read = read_amounts(rows).where(F.col("unit.number").isNotNull())
+    read = read_amounts(rows.select(row_id, group, "revenue_value", "currency", "scale", "notes")).where(F.col("unit.number").isNotNull())
     stated = read.where(F.col("unit.scale_value").isNotNull() & F.col("unit.currency_code").isNotNull()).select(
         row_id, F.col("unit.currency_code").alias("currency_code"), amount(F.col("unit.number"), F.col("unit.minor"), F.col("unit.scale_value")).alias("amount"),
         F.lit("stated").alias("unit_source"), F.lit(1.0).alias("confidence"), F.col("unit.is_plain").alias("is_plain"),
