@@ -188,11 +188,16 @@ def noise(pages: DataFrame, max_frequent: int = MAX_FREQUENT) -> DataFrame:
     seen = cut(suspects(pages, frequent))
     rare = seen.where(F.col("kind").isin(RARE, NUMBER)).join(wrong, "word")
     several = wrong.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("word")
-    options = wrong.join(several, "word").select("repair").distinct().limit(max_frequent)
-    seconds = {r.repair for r in options.collect()}
+    options = wrong.join(several, "word").select("repair").distinct()
+    # as many passes as it takes to hold no more than max_frequent words at a time; one, or none, in any corpus of words
+    blocks = -(-options.count() // max_frequent)
     order = F.struct((-F.col("cost")).alias("c"), F.col("n_repair").alias("f"), "repair")
-    if seconds:
-        pairs = bigram_counts(pages, seconds).withColumnRenamed("n", "n_pair")
+    pairs = None
+    for block in range(blocks):
+        seconds = {r.repair for r in options.where(F.pmod(F.xxhash64("repair"), F.lit(blocks)) == block).collect()}
+        counted = bigram_counts(pages, seconds).withColumnRenamed("n", "n_pair")
+        pairs = counted if pairs is None else pairs.unionByName(counted)
+    if pairs is not None:
         rare = rare.join(pairs, ["prev", "repair"], "left")
         order = F.struct((-F.round(F.col("cost"), 0)).alias("c"), F.coalesce("n_pair", F.lit(0)).alias("p"), (-F.col("cost")).alias("d"), F.col("n_repair").alias("f"), "repair")
     misread = rare.groupBy("page_id", "line_no", "word").agg(F.max(order)["repair"].alias("repair"))

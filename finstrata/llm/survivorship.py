@@ -50,12 +50,16 @@ def stated_amount(row_value: Column, raw: Column, evidence: Column) -> Column:
 
 
 def fact_keys(rows: DataFrame, rounding: int = ROUNDING) -> DataFrame:
-    """rows with fact_id: equal for rows of one document, segment and year whose amounts agree up to rounding."""
-    read = rows.withColumns({
-        "_seg": segment_key(F.col("segment_name")),
-        "_year": fiscal_year(F.col("fiscal_period")),
-        "_amount": F.round(stated_amount(F.col("normalized_value"), F.col("revenue_raw"), F.col("evidence_text")) / rounding).cast("long"),
-    })
+    """rows with fact_id: equal for rows of one document, segment and year whose amounts agree up to rounding.
+
+    A column of that name is replaced.
+    """
+    # the row itself travels as one struct: whatever its columns are called, they can't clash with the keys
+    read = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), "document_id", "row_id",
+        segment_key(F.col("segment_name")).alias("_seg"), fiscal_year(F.col("fiscal_period")).alias("_year"),
+        F.round(stated_amount(F.col("normalized_value"), F.col("revenue_raw"), F.col("evidence_text")) / rounding).cast("long").alias("_amount"),
+    )
     facts = (
         read.where(F.col("_amount").isNotNull())
         .groupBy("document_id", "_seg", "_amount")
@@ -82,9 +86,10 @@ def fact_keys(rows: DataFrame, rounding: int = ROUNDING) -> DataFrame:
         "_year": F.coalesce(F.col("_year"), F.when(single, F.col("_sy"))),
     })
     own = F.when(F.col("_amount").isNull(), F.col("row_id"))
-    both = with_amount.select(*read.columns).unionByName(without.select(*read.columns))
-    fact_id = F.sha2(F.to_json(F.struct("document_id", "_seg", "_year", "_amount", own.alias("own")), {"ignoreNullFields": "false"}), 256)
-    return both.withColumn("fact_id", fact_id).drop("_seg", "_year", "_amount")
+    fact_id = F.sha2(F.to_json(F.struct("document_id", "_seg", "_year", "_amount", own.alias("own")), {"ignoreNullFields": "false"}), 256).alias("_fact")
+    both = with_amount.select("_row", fact_id).unionByName(without.select("_row", fact_id))
+    kept = [c for c in rows.columns if c != "fact_id"]
+    return both.select(*[F.col("_row").getField(c).alias(c) for c in kept], F.col("_fact").alias("fact_id"))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
