@@ -78,7 +78,7 @@ def read_number(text: str | None) -> tuple[Decimal | None, str]:
     elif points > 1:
         digits = digits.replace(".", "")
     value = Decimal(digits)
-    negative = re.search(r"[-−–—]\s*(?:[^\d\s]{0,20}\s?)?\x02", rest) or re.search(r"\x02\s*[-−–](?!\w)", rest) or re.search(r"\(\s*\x02\s*\)", rest)
+    negative = re.search(r"(?:^\s*[-−–—][^\d(]{0,30}|[-−–—]\s*)\x02", rest) or re.search(r"\x02\s*[-−–](?!\w)", rest) or re.search(r"\(\s*\x02\s*\)", rest)
     return (-value if negative else value), re.sub(r"\x02", " ", rest)
 
 

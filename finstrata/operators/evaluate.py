@@ -6,6 +6,9 @@ without a document matches nothing and counts as missing or extra.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +33,8 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 def fuzzy_similarity(a: Column, b: Column) -> Column:
     """token_similarity, or the ratio of matching blocks where that is more. Python, by Arrow batches: filter pairs first."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
         return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)], dtype="float64")
 
     return F.greatest(token_similarity(a, b).cast("double"), ratio(alnum_words(a), alnum_words(b)))

@@ -78,6 +78,17 @@ def _features(rows: DataFrame, group: str) -> DataFrame:
     })
 
 
+def calibrated(bands: dict[int, tuple[int, int]], least: int = 20) -> dict[int, float]:
+    """Band of probability -> how often it is right: neighbouring bands pooled until none is right less often than a lower one and each has `least` rows."""
+    pools: list[list] = []
+    for band in sorted(bands):
+        pools.append([[band], *bands[band]])
+        while len(pools) > 1 and (pools[-2][2] < least or pools[-1][1] * pools[-2][2] < pools[-2][1] * pools[-1][2]):
+            own, right, n = pools.pop()
+            pools[-1] = [pools[-1][0] + own, pools[-1][1] + right, pools[-1][2] + n]
+    return {band: (right + 1) / (n + 2) for own, right, n in pools for band in own}
+
+
 FEATURES = ["f_log", "f_decimals", "f_zeros", "f_minor", "f_usual", "f_gap", "f_currency"]
 
 
@@ -103,12 +114,12 @@ def predict_scales(rows: DataFrame, row_id: str, group: str, trees: int = 40, tr
         model = RandomForestClassifier(numTrees=trees, maxDepth=10, seed=7).fit(bounded.where("fold > 0"))
         sure = F.array_max(vector_to_array("probability"))
         # calibration: how often predictions of each band of probability were right on the fold kept out
-        bands = {
-            r.band: (r.right + 1) / (r.n + 2)
+        bands = calibrated({
+            r.band: (r.right, r.n)
             for r in model.transform(bounded.where("fold = 0")).groupBy(F.floor(sure * 20).alias("band")).agg(
                 F.count(F.lit(1)).alias("n"), F.sum((F.col("prediction") == F.col("label")).cast("int")).alias("right")
             ).collect()
-        }
+        })
     finally:
         bounded.unpersist()
     rated = F.create_map(*[F.lit(x) for kv in bands.items() for x in kv]) if bands else F.create_map(F.lit(-1).cast("long"), F.lit(0.0))

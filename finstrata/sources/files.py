@@ -34,7 +34,8 @@ def html_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|div|tr|li|h[1-6])>", "\n"), r"(?s)<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return pages.withColumn("text", F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\S\n]+", " "), r" ?\n[ \n]*", "\n")))
+    lines = F.regexp_replace(F.regexp_replace(t, r"[^\S\n]+", " "), r" ?\n[ \n]*", "\n")
+    return pages.withColumn("text", F.regexp_replace(lines, r"^\s+|\s+$", ""))
 
 
 def require_columns(df: DataFrame, needed: Sequence[str]) -> DataFrame:
@@ -58,7 +59,7 @@ def banner_csv(spark: SparkSession, path: str, columns: Sequence[str] = tuple(sc
 
     The file is a dimension; its lines keep their order through one partition.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("no", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("no", "line"))
     parsed = lines.withColumn("cells", F.from_csv("line", ", ".join(f"c{i} string" for i in range(64)), {"mode": "PERMISSIVE"}))
     cells = F.array(*[F.trim(F.col(f"cells.c{i}")) for i in range(64)])
     header = parsed.select("no", cells.alias("cells")).where(F.size(F.array_except(F.array(*[F.lit(c) for c in columns]), F.col("cells"))) == 0).orderBy("no").limit(1).collect()
