@@ -40,7 +40,7 @@ _LEFT = re.compile(rf"([^\W_]+(?:-[^\W_]+)*)([{HYPHENS}])[ \t]*$")
 _RIGHT = re.compile(r"[ \t]*([^\W_]+(?:-[^\W_]+)*)")
 # Words for page, and for "of", in the languages of the pages.
 _PAGE_LINE = re.compile(
-    r"^[\W_]*(?:(?:page|pages|p|pag|pagina|página|pág|seite|s|side|blz|bladzijde)\b[\W_]*)?([0-9oOlIZzSsBbgq]{1,7})(?:[\W_]*(?:of|von|sur|de|di|van|af|out of)?[\W_]*\b[0-9oOlIZzSsBbgq]{1,7})?[\W_]*$",
+    r"^[\W_]*(?:(?:page|pages|p|pag|pagina|página|pág|seite|s|side|blz|bladzijde)\b[\W_]*)?([0-9oOlIZzSsBbgq]{1,7})(?:\s*(?:/|\||of|von|sur|de|di|van|af|out of)\s*[0-9oOlIZzSsBbgq]{1,7})?[\W_]*$",
     re.I,
 )
 _DIGITS = str.maketrans({k: v for k, v in DIGIT_LOOKALIKES.items()})
