@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finstrata.llm import canonical_values, eval_leaks, languages, name_variants, page_noise, repeated_lines, residue, survivorship
+from finstrata.llm import canonical_values, confusions, eval_leaks, languages, name_variants, page_noise, repeated_lines, residue, survivorship
 from finstrata.runtime import table
 
 FACT_FIELDS = ["normalized_value", "page_number", "fiscal_period"]
@@ -94,4 +94,34 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_found, p3_found, p3_pages, p4_found, p4_readable, p5_found, p5_entities, p7_found, p7_survivors, p9_found, p10_found)}
-SQL: dict[str, str] = {}
+
+# SQL for those that it can express. The others are tested against brute force and stated cases in tests/llm.
+_FOLDED = "translate(lower({}), '" + confusions._FROM + "', '" + confusions._TO + "')"
+for _single, _pair in confusions._WIDER:
+    _FOLDED = f"replace({_FOLDED}, '{_single}', '{_pair}')"
+_OWN = "regexp_replace({0}, '(^|[^\\pL\\pN])' || {1} || '([^\\pL\\pN]|$)', '\\1#\\2', 'g')"
+_SEG = "trim(regexp_replace(regexp_replace(regexp_replace(lower(segment_name), '\\(\\d+\\)\\s*$|[*.†‡:]+\\s*$', '', 'g'), '[*.†‡:]+\\s*$', '', 'g'), '[\\s\\-]+', ' ', 'g'))"
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH l AS (SELECT id, document_id, page_number, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM parsed_pages),
+f AS (SELECT id, document_id, line_no, {_FOLDED.format('x')} AS f, {_FOLDED.format('CAST(page_number AS VARCHAR)')} AS n FROM l WHERE length(regexp_replace(x, '[^\\pL]', '', 'g')) >= 12),
+k AS (SELECT id, document_id, line_no, regexp_replace(coalesce({_OWN.format(_OWN.format('f', 'n'), 'n')}, f), '\\s+', '', 'g') AS a, regexp_replace(f, '\\s+', '', 'g') AS b FROM f),
+c AS (SELECT document_id, key, count(DISTINCT id) AS n FROM (SELECT document_id, id, a AS key FROM k UNION SELECT document_id, id, b FROM k) GROUP BY 1, 2),
+p AS (SELECT document_id, count(*) AS pages FROM parsed_pages GROUP BY 1),
+q AS (SELECT document_id, key FROM c JOIN p USING (document_id) WHERE n >= 4 AND n * 3 >= pages)
+SELECT id AS page_id, CAST(line_no AS BIGINT) AS line_no FROM k WHERE EXISTS (SELECT 1 FROM q WHERE q.document_id = k.document_id AND q.key = k.a) OR EXISTS (SELECT 1 FROM q WHERE q.document_id = k.document_id AND q.key = k.b)""",
+    "p7_found": f"""WITH r AS (SELECT row_id, document_id, {_SEG} AS seg, CASE WHEN regexp_matches(fiscal_period, '(19|20)\\d{{2}}') THEN CAST(list_last(regexp_extract_all(fiscal_period, '(?:19|20)\\d{{2}}')) AS INT) WHEN regexp_matches(fiscal_period, '(?i)FY\\s?''?\\d{{2}}') THEN 2000 + CAST(regexp_extract(fiscal_period, '(?i)FY\\s?''?(\\d{{2}})', 1) AS INT) END AS y,
+coalesce(CAST(normalized_value AS DECIMAL(38,6)), CAST(nullif(regexp_replace(revenue_raw, '[^\\d]', '', 'g'), '') AS DECIMAL(38,6)), CAST(nullif(regexp_replace(regexp_extract(evidence_text, '(\\d[\\d ,.'']*[.,]\\d) \\pL', 1), '[^\\d]', '', 'g'), '') AS DECIMAL(38,6)) * 100000) AS v,
+CAST(normalized_value IS NOT NULL AS INT) + CAST(page_number IS NOT NULL AS INT) + CAST(fiscal_period IS NOT NULL AS INT) AS filled, extracted_at, confidence FROM prepared_rows),
+a AS (SELECT *, CAST(round(v / 100000, 0) AS BIGINT) AS m FROM r),
+o AS (SELECT document_id, seg, m, CASE WHEN min(y) = max(y) THEN min(y) END AS oy FROM a WHERE m IS NOT NULL GROUP BY 1, 2, 3),
+w AS (SELECT a.* EXCLUDE (y), coalesce(a.y, o.oy) AS y FROM a JOIN o USING (document_id, seg, m)),
+by_y AS (SELECT document_id, seg, y, min(m) AS lo, max(m) AS hi FROM w WHERE y IS NOT NULL GROUP BY 1, 2, 3), by_s AS (SELECT document_id, seg, min(m) AS lo, max(m) AS hi, min(y) AS y0, max(y) AS y1 FROM w GROUP BY 1, 2),
+z AS (SELECT a.* EXCLUDE (m, y), CASE WHEN b.lo = b.hi THEN b.lo WHEN s.lo = s.hi AND coalesce(s.y0 = s.y1, true) AND (a.y IS NULL OR s.y0 IS NULL) THEN s.lo END AS m, coalesce(a.y, CASE WHEN s.lo = s.hi AND coalesce(s.y0 = s.y1, true) THEN s.y0 END) AS y FROM a LEFT JOIN by_y b USING (document_id, seg, y) LEFT JOIN by_s s USING (document_id, seg) WHERE a.m IS NULL),
+u AS (SELECT row_id, document_id, seg, y, m, filled, extracted_at, confidence, '' AS own FROM w UNION ALL SELECT row_id, document_id, seg, y, m, filled, extracted_at, confidence, CASE WHEN m IS NULL THEN row_id ELSE '' END FROM z),
+g AS (SELECT document_id, seg, y, m, own, count(*) AS n, min(row_id) AS first_id, max(filled) AS most, max(extracted_at) AS late, max(confidence) AS sure FROM u GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2)
+SELECT first_id, min(u.row_id) FILTER (extracted_at = late) AS best_id FROM g JOIN u ON u.document_id = g.document_id AND u.seg = g.seg AND u.y IS NOT DISTINCT FROM g.y AND u.m IS NOT DISTINCT FROM g.m AND u.own = g.own
+GROUP BY first_id HAVING count(*) FILTER (extracted_at = late) = 1 AND count(*) FILTER (confidence = sure) = 1 AND count(*) FILTER (extracted_at = late AND confidence = sure AND filled = most) = 1""",
+    "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS run FROM d WHERE len(w) >= 13), y AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS run FROM i WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (run)""",
+}
