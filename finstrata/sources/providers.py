@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: A provider takes one prompt and gives one answer; it runs on the executors, once per row.
 Provider = Callable[[str], str]
@@ -50,3 +51,24 @@ def answers(prompts: DataFrame, provider: Provider = fake_provider, limits: Limi
             yield pd.DataFrame(out, columns=["id", "answer", "error", "chars_in", "chars_out"])
 
     return prompts.select("id", "prompt").mapInPandas(call, "id string, answer string, error string, chars_in int, chars_out int")
+
+
+#: A reader takes a document id and a page number and gives the page's text, or None; it may start a process of its own.
+PageReader = Callable[[str, int], str | None]
+
+
+def fallback_texts(pages: DataFrame, reader: PageReader) -> DataFrame:
+    """id, text, status for pages(id, document_id, page_number): the reader's text, and whether it was applied, empty or failed."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, d, n in zip(batch["id"], batch["document_id"], batch["page_number"]):
+                try:
+                    t = reader(d, int(n))
+                    out.append((i, t, "applied" if t and t.strip() else "attempted_no_text"))
+                except Exception:  # noqa: BLE001
+                    out.append((i, None, "failed"))
+            yield pd.DataFrame(out, columns=["id", "text", "status"])
+
+    return pages.where(F.col("page_number").isNotNull()).select("id", "document_id", "page_number").mapInPandas(read, "id string, text string, status string")
