@@ -35,7 +35,7 @@ HYPHENS = "-­¬‐‑"
 #: Marks that are never part of a compound.
 SURE_CUTS = "­¬"
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
-_BROKEN = re.compile(rf"[^\W_]+(?:-[^\W_]+)*[{HYPHENS}][ \t]*\n[ \t]*[^\W_]+(?:-[^\W_]+)*")
+_LINE_CUT = re.compile(rf"[{HYPHENS}][ \t]*\n[ \t]*")
 _LEFT = re.compile(rf"([^\W_]+(?:-[^\W_]+)*)([{HYPHENS}])[ \t]*$")
 _RIGHT = re.compile(r"[ \t]*([^\W_]+(?:-[^\W_]+)*)")
 # Words for page, and for "of", in the languages of the pages.
@@ -61,6 +61,21 @@ def is_page_number(line: str, page_number: int | None) -> bool:
     return bool(m) and any(c.isdigit() for c in line) and m[1].lower().translate(_DIGITS).lstrip("0") == str(page_number)
 
 
+def without_cut_words(text: str) -> str:
+    """A text without the words that a hyphen parts at the end of a line, a blank in their place."""
+    kept, at, end = [], 0, len(text)
+    for m in _LINE_CUT.finditer(text):
+        left, right = m.start(), m.end()
+        while left > at and (text[left - 1].isalnum() or text[left - 1] == "-"):
+            left -= 1
+        while right < end and (text[right].isalnum() or text[right] == "-"):
+            right += 1
+        if left < m.start() and right > m.end():
+            kept.append(text[at:left])
+            at = right
+    return " ".join([*kept, text[at:]]) if kept else text
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
     """word, n: every word of all texts in lower case, but those cut at a line end."""
 
@@ -68,7 +83,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             seen: Counter[str] = Counter()
             for text in batch["text"]:
-                seen.update(_WORD.findall(_BROKEN.sub(" ", text.lower().replace("@", AT))))
+                seen.update(_WORD.findall(without_cut_words(text.lower().replace("@", AT))))
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     return pages.where(F.length("text") > 0).select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
