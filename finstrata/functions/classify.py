@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from finstrata.functions.text import contains_any, english_meaning, fold_ascii
+from finstrata.functions.text import contains_any, english_meaning, fold_ascii, let
 
 # Labels that name nothing, totals, and parts of labels of other row types.
 UNKNOWN = ["", "-", "n/a", "na", "unknown", "not disclosed"]
@@ -26,11 +26,14 @@ def row_type(name: Column, value: Column | None = None) -> Column:
 
     "subtotal" ends in total and so is one; "central" and "corporate" make a reconciliation of any label.
     """
-    n = english_meaning(name)
+    negative = F.coalesce(value < 0, F.lit(False)) if value is not None else F.lit(False)
+    return let(english_meaning(name), lambda n: _row_type(n, negative))
+
+
+def _row_type(n: Column, negative: Column) -> Column:
     ends = F.lit(False)
     for t in TOTAL_ENDS:
         ends = ends | n.startswith(t) | n.endswith(t)
-    negative = F.coalesce(value < 0, F.lit(False)) if value is not None else F.lit(False)
     return (
         F.when(n.isin(*UNKNOWN), "unknown").when(n.isin(*TOTALS) | ends, "total").when(contains_any(n, ELIMINATIONS), "elimination")
         .when(contains_any(n, SUBTOTALS), "subtotal").when(contains_any(n, RECONCILIATIONS) | negative, "other_reconciliation").otherwise("business_segment")
@@ -39,8 +42,11 @@ def row_type(name: Column, value: Column | None = None) -> Column:
 
 def segment_type(name: Column, evidence: Column | None = None) -> Column:
     """geography, customer, multi_activity, product_segment, single_activity or mixed_or_unclear."""
-    n = english_meaning(name)
-    both = F.concat_ws(" ", n, english_meaning(evidence)) if evidence is not None else n
+    about = english_meaning(evidence) if evidence is not None else F.lit(None).cast("string")
+    return let(F.struct(english_meaning(name).alias("n"), about.alias("about")), lambda x: _segment_type(x["n"], F.concat_ws(" ", x["n"], x["about"])))
+
+
+def _segment_type(n: Column, both: Column) -> Column:
     return (
         F.when((n == "") | n.isin("other", "others", "miscellaneous"), "mixed_or_unclear").when(contains_any(n, GEOGRAPHIES), "geography").when(contains_any(n, CUSTOMERS), "customer")
         .when(contains_any(F.concat(F.lit(" "), n, F.lit(" ")), MIXED), "multi_activity").when(contains_any(n, PRODUCTS) & ~contains_any(n, ACTIVITIES), "product_segment")

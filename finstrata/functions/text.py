@@ -6,7 +6,7 @@ All of them give null for null, and an empty text for a text without anything th
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,11 +57,18 @@ def english_meaning(text: Column) -> Column:
     """A label in lower-case ASCII with known foreign words in English."""
     label = F.regexp_replace(F.lower(strip_marks(text)), "[—–]", " ")
     label = squeeze(F.regexp_replace(F.replace(label, F.lit("ß"), F.lit("ss")), r"[^a-z0-9&/,+.\-\s]", " "))
-    for foreign, english in MEANINGS.items():
-        label = F.regexp_replace(label, rf"\b{re.escape(foreign)}\b", english)
+    # one pass for all words of one meaning: none of them is part of another as a whole word
+    for english in dict.fromkeys(MEANINGS.values()):
+        words = "|".join(re.escape(f) for f, e in MEANINGS.items() if e == english)
+        label = F.regexp_replace(label, rf"\b(?:{words})\b", english)
     return squeeze(label)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # Words that say nothing about an activity.
 STOPWORDS = "and are as at business businesses by company division for from group in of on operations other products revenue segment segments service services solutions the to with".split()
 

@@ -13,7 +13,7 @@ FACTOR_TERMS = ["emissions", "emissionen", "co2", "furnaces", "safety"]
 
 
 def page_relevance_score(spark: SparkSession, d: str) -> DataFrame:
-    scores = pages.page_scores(table(spark, d, "parsed_pages"))
+    scores = pages.page_scores(table(spark, d, "parsed_pages", spread=True))
     return scores.select("id", "relevance_score", *[F.col(c).cast("decimal(12,6)").alias(c) for c in ("term_score", "table_score", "number_score", "unit_score", "business_score", "total_score")])
 
 
@@ -63,7 +63,7 @@ def factor_linking(spark: SparkSession, d: str) -> DataFrame:
 
 def factor_page_topk(spark: SparkSession, d: str) -> DataFrame:
     near = table(spark, d, "segment_rows").select("document_id", money.page_of(F.col("page_ref")).alias("page_number"))
-    return pages.factor_pages(table(spark, d, "parsed_pages"), near, FACTOR_TERMS).select("id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return pages.factor_pages(table(spark, d, "parsed_pages", spread=True), near, FACTOR_TERMS).select("id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 QUERIES = {

@@ -24,11 +24,11 @@ def synonym_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 def tokenise_stopwords(spark: SparkSession, d: str) -> DataFrame:
     tokens = text.content_tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(F.array_sort(tokens), " ").alias("tokens"))
+    return table(spark, d, "documents", spread=True).select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
 def language_by_markers(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.marker_language(F.col("text")).alias("marker_language"))
+    return table(spark, d, "documents", spread=True).select("doc_id", text.marker_language(F.col("text")).alias("marker_language"))
 
 
 def language_first_hit(spark: SparkSession, d: str) -> DataFrame:

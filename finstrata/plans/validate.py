@@ -24,12 +24,12 @@ def reported_vs_explicit_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_type_classify(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "segment_rows")
+    s = table(spark, d, "segment_rows", spread=True)
     return s.select("id", classify.row_type(F.col("segment_name_original"), F.col("normalized_value")).alias("row_kind"), classify.is_total(F.col("segment_name_original")).alias("total_label"))
 
 
 def segment_type_classify(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "segment_rows").select("id", classify.segment_type(F.col("segment_name_original"), F.col("metric_basis")).alias("segment_kind"))
+    return table(spark, d, "segment_rows", spread=True).select("id", classify.segment_type(F.col("segment_name_original"), F.col("metric_basis")).alias("segment_kind"))
 
 
 def validation_issues(spark: SparkSession, d: str) -> DataFrame:

@@ -25,10 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the folder. spread: for work that is long per row, see spread_out()."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_out(df) if spread else df
 
 
-def python_partitions(df: DataFrame, least: int = 1) -> int:
-    """Partitions for a pass through Python workers: as many as the cluster has cores, at least."""
-    return max(least, df.sparkSession.sparkContext.defaultParallelism)
+def spread_out(df: DataFrame) -> DataFrame:
+    """A scan that would leave half of the cores idle, because its file is a single row group, dealt to all of them.
+
+    Tables of many files or row groups, thus all large ones, stay as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
