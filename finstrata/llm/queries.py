@@ -12,15 +12,15 @@ FACT_FIELDS = ["normalized_value", "page_number", "fiscal_period"]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.repeated_line_occurrences(table(spark, d, "parsed_pages"))
+    return repeated_lines.repeated_line_occurrences(table(spark, d, "parsed_pages", spread=True))
 
 
 def p1_clean_pages(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.without_repeated_lines(table(spark, d, "parsed_pages"))
+    return repeated_lines.without_repeated_lines(table(spark, d, "parsed_pages", spread=True))
 
 
 def p1_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.frequent_sequences(table(spark, d, "parsed_pages"))
+    return repeated_lines.frequent_sequences(table(spark, d, "parsed_pages", spread=True))
 
 
 def _labels(values: DataFrame, reference: DataFrame) -> DataFrame:
@@ -47,19 +47,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return languages.foreign_paragraphs(table(spark, d, "parsed_pages"))
+    return languages.foreign_paragraphs(table(spark, d, "parsed_pages", spread=True))
 
 
 def p3_pages(spark: SparkSession, d: str) -> DataFrame:
-    return languages.page_languages(table(spark, d, "parsed_pages"))
+    return languages.page_languages(table(spark, d, "parsed_pages", spread=True))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return page_noise.noisy_lines(table(spark, d, "parsed_pages"))
+    return page_noise.noisy_lines(table(spark, d, "parsed_pages", spread=True))
 
 
 def p4_readable(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "parsed_pages")
+    pages = table(spark, d, "parsed_pages", spread=True)
     return page_noise.readable_pages(pages, repeated_lines.repeated_line_occurrences(pages))
 
 
@@ -86,11 +86,11 @@ def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     # a run of 13 words is a stretch with no edit at all, so the lemma's bound is exact at an edit budget of 0
-    return eval_leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=0)
+    return eval_leaks.leaked_items(table(spark, d, "documents", spread=True), table(spark, d, "eval_items"), edits=0)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(table(spark, d, "documents"))
+    return residue.residue(table(spark, d, "documents", spread=True))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_found, p3_found, p3_pages, p4_found, p4_readable, p5_found, p5_entities, p7_found, p7_survivors, p9_found, p10_found)}
