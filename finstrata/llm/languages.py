@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "da")
-TRAIN_PAGES = 2_000
+TRAIN_PAGES = 1_500
 FOLDS = 3
 BUCKETS = 1 << 16
 BITS = 15
@@ -109,6 +109,17 @@ def codewords(classes: int, bits: int = BITS, seed: int = 5) -> np.ndarray:
     return best.astype(np.float32)
 
 
+def shares_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The buckets of each text's n-grams and their shares."""
+    cached: dict[str, list[int]] = {}
+    samples = []
+    for t in texts:
+        ids = [i for w in words_of(t) for i in (cached.get(w) or cached.setdefault(w, ngram_ids(w)))]
+        u, c = np.unique(np.array(ids, np.int64), return_counts=True)
+        samples.append((u, (c / max(1, c.sum())).astype(np.float32)))
+    return samples
+
+
 class LanguageModel:
     """Linear bit classifiers over n-grams; a word's contribution to every bit is computed once and kept."""
 
@@ -132,15 +143,9 @@ class LanguageModel:
         self.classes, self.code, self.weights, self.bias, self.trust = state
         self._reset()
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.5) -> None:
-        """Logistic regression for every bit at once, with AdaGrad steps."""
+    def fit(self, samples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 3, rate: float = 0.5) -> None:
+        """Logistic regression for every bit at once, with AdaGrad steps. samples: shares_of() of each text."""
         rng = np.random.default_rng(3)
-        cached: dict[str, list[int]] = {}
-        samples = []
-        for t in texts:
-            ids = [i for w in words_of(t) for i in (cached.get(w) or cached.setdefault(w, ngram_ids(w)))]
-            u, c = np.unique(np.array(ids, np.int64), return_counts=True)
-            samples.append((u, (c / max(1, c.sum())).astype(np.float32)))
         seen = np.full(self.weights.shape, 1e-6, np.float32)
         target = self.code[np.array(labels)]
         scale = np.float32(20)
@@ -152,15 +157,18 @@ class LanguageModel:
                 x = x * scale
                 f = x @ self.weights[u] + self.bias
                 step = -target[k] / (1 + np.exp(np.clip(target[k] * f, -30, 30)))
-                g = np.outer(x, step)
+                g = x[:, None] * step
                 seen[u] += g * g
                 self.weights[u] -= rate * g / np.sqrt(seen[u])
         self.weights *= scale
-        margins = self.margins(texts)
-        right = (np.sign(margins) == np.sign(target)).mean(0) if len(texts) else np.ones(len(self.bias))
+        right = (np.sign(self.sample_margins(samples)) == np.sign(target)).mean(0) if samples else np.ones(len(self.bias))
         self.trust = np.maximum(right - 0.5, 0.01).astype(np.float32)
         self.trust /= self.trust.sum()
 
+    def sample_margins(self, samples: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """margins() of texts whose n-grams are counted already."""
+        return np.array([x @ self.weights[u] + self.bias for u, x in samples]).reshape(len(samples), len(self.bias))
+
     def _slot(self, word: str) -> int:
         at = len(self.slots)
         if at == len(self.sizes):
@@ -219,19 +227,21 @@ def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, classes: tuple[str,
     seeds = [_SEED[c] for c in classes if c in _SEED for _ in range(10)]
     seed_labels = [classes.index(c) for c in classes if c in _SEED for _ in range(10)]
 
+    samples, seed_samples = shares_of(texts), shares_of(seeds)
+
     def fitted(which: list[int], epochs: int) -> LanguageModel:
         model = LanguageModel(classes)
-        model.fit([texts[k] for k in which] + seeds, [labels[k] for k in which] + seed_labels, epochs)
+        model.fit([samples[k] for k in which] + seed_samples, [labels[k] for k in which] + seed_labels, epochs)
         return model
 
     keep: list[int] = []
     for fold in range(FOLDS):
         held = [k for k, f in enumerate(folds) if f == fold]
         if held:
-            judge = fitted([k for k, f in enumerate(folds) if f != fold], 2)
-            said, _ = judge.decode(judge.margins([texts[k] for k in held]))
+            judge = fitted([k for k, f in enumerate(folds) if f != fold], 1)
+            said, _ = judge.decode(judge.sample_margins([samples[k] for k in held]))
             keep += [k for k, a in zip(held, said) if a == labels[k]]
-    return fitted(sorted(keep), 5)
+    return fitted(sorted(keep), 3)
 
 
 _OUT = "page_id string, para_no long, letters int, is_prose boolean, label_code string, lang_code string, confidence double, ambiguous boolean"
