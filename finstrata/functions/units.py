@@ -48,6 +48,8 @@ def read_units(text: str | None) -> tuple[str | None, int, int | None]:
         if m and m["iso"].upper() in ISO:
             mark = m["mark"].lower().rstrip(".")
             return m["iso"].upper(), 1, _SCALE_OF["k" if mark == "t" else mark]
+    if re.fullmatch("[A-Z]{3}", low) and low.lower() not in _SCALE_OF and low.lower() not in _CURRENCY_OF:
+        return low, 1, None  # a code that no list here names
     currency, minor, scale = None, 1, None
     for m in _UNIT.finditer(low.lower().strip(" .") if len(low) > 1 else low.lower()):
         word = m.group()

@@ -77,7 +77,7 @@ def test_numbers_of_amounts(shown, number):
 
 @pytest.mark.parametrize(("shown", "expected"), [
     ("kCHF", ("CHF", 1, 1000)), ("MSEK", ("SEK", 1, 10**6)), ("EURbn", ("EUR", 1, 10**9)), ("GBP'000", ("GBP", 1, 1000)), ("US cents", ("USD", 100, None)), ("Danish øre", ("DKK", 100, None)), ("table heading reads Swiss francs million", ("CHF", 1, 10**6)),
-    ("amounts in thousands of pounds sterling", ("GBP", 1, 1000)), ("Mrd.", (None, 1, 10**9)), ("億", (None, 1, 10**8)), ("hundred millions", (None, 1, 10**8)), ("checked twice", (None, 1, None)), ("HK$", ("HKD", 1, None)), (None, (None, 1, None)),
+    ("amounts in thousands of pounds sterling", ("GBP", 1, 1000)), ("Mrd.", (None, 1, 10**9)), ("億", (None, 1, 10**8)), ("hundred millions", (None, 1, 10**8)), ("checked twice", (None, 1, None)), ("HK$", ("HKD", 1, None)), ("MXN", ("MXN", 1, None)), ("MIO", (None, 1, 10**6)), (None, (None, 1, None)),
 ])
 def test_units(shown, expected):
     assert units.read_units(shown) == expected
