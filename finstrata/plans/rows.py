@@ -103,7 +103,6 @@ _YEARS = "list_transform(list_filter(regexp_extract_all(coalesce({}, ''), '\\d+'
 _PERIOD_KEY = "CASE WHEN regexp_matches(lower(trim(coalesce({0}, ''))), '(19|20)\\d{{2}}') THEN regexp_extract(lower(trim(coalesce({0}, ''))), '((?:19|20)\\d{{2}})', 1) ELSE regexp_replace(lower(trim(coalesce({0}, ''))), '[^a-z0-9]+', '', 'g') END"
 _WORDS = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _FOLD = "trim(regexp_replace(lower(regexp_replace(strip_accents({}), '[^\\x00-\\x7F]', '', 'g')), '\\s+', ' ', 'g'))"
-_FOLD_LIST = "list_reduce(list_prepend([], {a}), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y - x) <= 1)) > 0 THEN acc ELSE list_concat(acc, x) END)"
 _SCORED = "SELECT document_id, page_number, least(len(regexp_extract_all(text, '\\d[\\d,]*')), 40) / 8.0 AS score FROM parsed_pages"
 SQL = {
     "latest_status_per_key": "SELECT segment_id, action, id FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY event_at DESC, id DESC) AS k FROM (SELECT DISTINCT segment_id, action, event_at, id FROM review_events WHERE segment_id IS NOT NULL AND action <> '')) WHERE k = 1",

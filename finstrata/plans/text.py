@@ -9,7 +9,6 @@ from finstrata.functions import money, text
 from finstrata.runtime import table
 
 _NUM = "DECIMAL(38,6)"
-_STRIP = "strip_accents({})"
 # the SQL's own way of dropping what isn't ASCII and squeezing blanks
 _SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
@@ -105,7 +104,6 @@ SELECT id, CAST(CASE WHEN neg THEN -TRY_CAST(nullif(n, '') AS {_NUM}) ELSE TRY_C
 QUERIES = {f.__name__: f for f in (fold_ascii, synonym_normalise, tokenise_stopwords, language_by_markers, language_first_hit, redact_secrets, money_parse, scale_currency_resolve, period_label_norm, page_ref_parse, value_tolerance)}
 _STOP_SQL = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _TOKENS_SQL = f"list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND w NOT IN ({_STOP_SQL})))"
-_COUNTED = ", ".join(f"{{'n': len(regexp_extract_all(lower(regexp_replace(text, '(\\pL+|\\pN+)', ' \\1 ', 'g')), '(?:^|[^\\pL\\pN])({'|'.join(w)})(?:$|[^\\pL\\pN])')), 'c': '{c}'}}" for c, w in text.MARKERS.items())
 SQL = {
     "fold_ascii": f"SELECT id, trim(regexp_replace(lower(regexp_replace(strip_accents(segment_name_original), '[^\\x00-\\x7F]', '', 'g')), '\\s+', ' ', 'g')) AS folded, {_SQUEEZE.format('lower(segment_name_original)')} AS squeezed, trim(regexp_replace(lower(segment_name_original), '[^a-z0-9]+', ' ', 'g')) AS words FROM segment_rows",
     "synonym_normalise": f"SELECT id, {_MEANINGS_SQL} AS meaning FROM segment_rows",

@@ -118,3 +118,28 @@ def test_workbook_and_letters(spark, tmp_path):
     assert [export.column_letters(k) for k in (1, 26, 27, 702, 703)] == ["A", "Z", "AA", "ZZ", "AAA"]
     export.write_csv(df, str(tmp_path / "c"), ["y", "x"])
     assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "c")).fillna("").collect()) == [("", "a<b"), ("2", "c")]
+
+
+def test_nested_export_and_schemas(spark, tmp_path):
+    import datetime
+    import json
+
+    from finstrata import schemas
+    from finstrata.functions import json_text, text
+
+    parents = spark.createDataFrame([("d", datetime.datetime(2024, 1, 2)), ("e", None)], "id string, at timestamp")
+    children = spark.createDataFrame([("d", "r2", 2), ("d", "r1", 1), (None, "r3", 3)], "doc string, row_id string, n int")
+    nested = export.nest(parents, children, "id", "doc", "rows", ["n"], ["row_id"])
+    shown = {r.id: json.loads(r.j) for r in nested.select("id", export.as_json(["at", "rows"]).alias("j")).collect()}
+    assert [x["row_id"] for x in shown["d"]["rows"]] == ["r1", "r2"] and shown["e"] == {"at": None, "rows": []}
+    export.write_json(nested, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    export.write_markdown(nested.select("id"), str(tmp_path / "m.md"), "Title", ["id"])
+    assert (tmp_path / "m.md").read_text().startswith("# Title\n\n| id |\n|---|\n| ")
+    later = store.evolve(parents.withColumn("extra", F.lit(1)), schemas.DOCUMENT)
+    assert later.columns == schemas.DOCUMENT.names and later.count() == 2
+    names = schemas.EXTRACTED_ROW.names
+    answers = spark.createDataFrame([(json.dumps(dict.fromkeys(names)),), ('{"segment_name": "x"}',), ("[1]",), ("no",), (None,)], "t string")
+    errors = [r.e for r in answers.select(json_text.schema_errors(F.col("t"), names).alias("e")).collect()]
+    assert errors[0] == [] and "missing confidence" in errors[1] and errors[2:] == [["invalid"]] * 3
+    assert [r.b for r in spark.createDataFrame([(" ",), (" a ",), (None,)], "x string").select(text.blank_to_null(F.col("x")).alias("b")).collect()] == [None, "a", None]

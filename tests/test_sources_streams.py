@@ -79,6 +79,8 @@ def test_streams(spark, tmp_path):
     assert seen == {"s": "reject", "t": "edit"}
     events.to_table(events.tumbling(stream().withColumn("v", F.lit(1.0)), "at", "1 hour", ["action"], "v"), str(tmp_path / "w"), str(tmp_path / "c3")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "w")).count() >= 1
+    events.to_table(events.sessions(stream(), "at", "30 minutes", ["segment_id"]), str(tmp_path / "s"), str(tmp_path / "c5")).awaitTermination()
+    assert set(spark.read.parquet(str(tmp_path / "s")).columns) == {"start", "end", "segment_id", "n"}
     failures = []
     events.run_jobs(stream(), str(tmp_path / "c4"), lambda b, n: 1 / 0, lambda b, e: failures.append(e)).awaitTermination()
     assert failures == ["division by zero"]
