@@ -1,6 +1,6 @@
 """Noise of scanned pages: words cut at line ends, misread characters, page numbers, running headers.
 
-1. A frequency lexicon is counted over all pages (words cut at line ends are left out).
+1. A frequency lexicon is counted over all pages (words cut at line ends are listed, but don't count).
 2. Its words meet on the symmetric deletes of their folded spelling (confusions.fold): a rare word whose
    spelling is a confusion or two away from one that is far more frequent is a misreading of it. Where
    several words fit, the word before decides by bigram counts, else frequency.
@@ -61,9 +61,9 @@ def is_page_number(line: str, page_number: int | None) -> bool:
     return bool(m) and any(c.isdigit() for c in line) and m[1].lower().translate(_DIGITS).lstrip("0") == str(page_number)
 
 
-def without_cut_words(text: str) -> str:
-    """A text without the words that a hyphen parts at the end of a line, a blank in their place."""
-    kept, at, end = [], 0, len(text)
+def without_cut_words(text: str) -> tuple[str, list[str]]:
+    """A text without the words that a hyphen parts at the end of a line, a blank in their place; and those words in one."""
+    kept, joined, at, end = [], [], 0, len(text)
     for m in _LINE_CUT.finditer(text):
         left, right = m.start(), m.end()
         while left > at and (text[left - 1].isalnum() or text[left - 1] == "-"):
@@ -72,18 +72,22 @@ def without_cut_words(text: str) -> str:
             right += 1
         if left < m.start() and right > m.end():
             kept.append(text[at:left])
+            joined.append(text[left : m.start()] + text[m.end() : right])
             at = right
-    return " ".join([*kept, text[at:]]) if kept else text
+    return (" ".join([*kept, text[at:]]) if kept else text), joined
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """word, n: every word of all texts in lower case, but those cut at a line end."""
+    """word, n: every word of all texts in lower case. Words cut at a line end don't count: those seen only so have 0."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: Counter[str] = Counter()
             for text in batch["text"]:
-                seen.update(_WORD.findall(without_cut_words(text.lower().replace("@", AT))))
+                whole, joined = without_cut_words(text.lower().replace("@", AT))
+                seen.update(_WORD.findall(whole))
+                for word in joined:
+                    seen.setdefault(word, 0)
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     return pages.where(F.length("text") > 0).select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -101,7 +105,7 @@ def misreadings(lexicon: DataFrame, max_cost: float = MAX_COST, min_ratio: float
     slots = words.select("word", "n", F.explode(_deletes(F.col("folded"))).alias("slot"))
     targets = slots.where((F.col("n") >= MIN_TARGET) & ~F.col("word").rlike(r"\d")).select(F.col("word").alias("repair"), F.col("n").alias("n_repair"), "slot")
     met = slots.join(targets, "slot").where(
-        (F.col("n_repair") >= F.col("n") * min_ratio) & (F.abs(F.length("word") - F.length("repair")) <= 2) & (F.col("word") != F.col("repair"))
+        (F.col("n_repair") >= F.greatest(F.col("n"), F.lit(1)) * min_ratio) & (F.abs(F.length("word") - F.length("repair")) <= 2) & (F.col("word") != F.col("repair"))
     )
 
     @F.pandas_udf("double")
@@ -109,7 +113,7 @@ def misreadings(lexicon: DataFrame, max_cost: float = MAX_COST, min_ratio: float
         return pd.Series([weighted_distance(x, y, max_cost) for x, y in zip(a, b)], dtype="float64")
 
     pairs = met.select("word", "n", "repair", "n_repair").distinct().withColumn("cost", cost("word", "repair"))
-    long_enough = (F.length("repair") >= 4) | ((F.col("cost") <= CONFUSED + 0.01) & (F.col("n_repair") >= F.col("n") * SHORT_RATIO))
+    long_enough = (F.length("repair") >= 4) | ((F.col("cost") <= CONFUSED + 0.01) & (F.col("n_repair") >= F.greatest(F.col("n"), F.lit(1)) * SHORT_RATIO))
     return pairs.where((F.col("cost") <= max_cost) & long_enough).select("word", "repair", "cost", "n_repair")
 
 

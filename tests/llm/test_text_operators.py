@@ -210,9 +210,10 @@ def test_residue(spark):
         (10, f"{prose} It lists rows such as {{\"segment\": \"Packaging\", \"value\": 80}} for the reader."), (11, f"Revenue of [insert amount] was reported by the group."), (12, "The tool was rebuilt without JavaScript, which cut loading times for the readers of the report."),
         (13, "Directors [1] and [2] of the group abstained, and the vote [...] was repeated."), (14, "In XX.X million, the segment of the group closed."), (15, "xxxx xxxxxx xxx xx xxxxxx xxxx xxx xx xxxx"),
     ]
+    rows += [(16, f"{prose} {prose[:-1] * 3}. 500 Internal error"), (17, f"{prose}\n> surplus hatchery absorbed unlisted bakery ahead alongside legacy sawmill\n> of the group.")]
     rows += [(100 + k, "Kindly reload the viewer panel.") for k in range(6)]
     got = [x[0] for x in pairs(residue.residue(texts(spark, rows)), "doc_id")]
-    assert got == [2, 3, 4, 7, 11, 14, 15, *range(100, 106)]
+    assert got == [2, 3, 4, 7, 11, 14, 15, 16, *range(100, 106)]
     assert residue.residue(texts(spark, [])).count() == 0
 
 
