@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,13 +61,59 @@ def page_flags(pages: DataFrame) -> DataFrame:
 
 
 def excerpts(pages: DataFrame, head: int = 160, body: int = 900, tables: int = 2, rows: int = 4) -> DataFrame:
-    """id, heading, excerpt and table_text: what of a page is shown to a model."""
+    """id, heading, excerpt and table_text: what of a page is shown where candidates are chosen; rows are extracted from page_prompts."""
     t = F.coalesce(F.col("text"), F.lit(""))
     heading = F.substring(F.coalesce(F.try_element_at(nonblank_lines(t), F.lit(1)), F.lit("")), 1, head)
     shown = F.transform(F.slice(F.coalesce("tables.tables", F.array().cast("array<struct<table_index:int,source:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,rows:array<array<string>>>>")), 1, tables), lambda x: F.array_join(F.transform(F.slice(x["rows"], 1, rows), lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | ")), "\n"))
     return pages.select("id", heading.alias("heading"), F.substring(squeeze(t), 1, body).alias("excerpt"), F.array_join(shown, "\n--\n").alias("table_text"))
 
 
+def prompt_parts(head: str, text: str, tables: Sequence[str], most: int) -> list[str]:
+    """A page's whole text and tables in one part, or in as many as it takes for none to be longer than `most` characters.
+
+    Parts end at line ends. Each begins with head, and with the header row of a table that goes on; only a line longer
+    than a part is cut within, at a blank if it has one.
+    """
+    whole = "\n".join([head, "Text:", text, *tables])
+    if len(whole) <= most:
+        return [whole]
+    head = head if len(head) <= most // 4 else ""
+    parts, shown = [], [head] if head else []
+
+    def show(line: str, lead: Sequence[str]) -> None:
+        nonlocal shown
+        if len(shown) > 0 and sum(map(len, shown)) + len(shown) + len(line) > most:
+            parts.append("\n".join(shown))
+            shown = [*([head] if head else []), *lead]
+        while (room := most - sum(map(len, shown)) - len(shown)) < len(line):
+            at = line.rfind(" ", 1, room + 1)
+            at = at if at > 0 else room
+            parts.append("\n".join([*shown, line[:at]]))
+            line, shown = line[at:].lstrip(" "), [*([head] if head else []), *lead]
+        shown.append(line)
+
+    for block, repeated in [("Text:\n" + text, 1), *((t, 2) for t in tables)]:
+        lines = block.split("\n")
+        lead = lines[:repeated] if sum(map(len, lines[:repeated])) <= most // 4 else []
+        for k, line in enumerate(lines):
+            show(line, lead if k >= repeated else [])
+    return [*parts, "\n".join(shown)]
+
+
+def page_prompts(pages: DataFrame, most: int) -> DataFrame:
+    """id and prompt: the whole text and every row of every table of a page; a page longer than `most` has several prompts."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    head = F.concat_ws("\n", F.concat(F.lit("Page "), F.col("page_number").cast("string")), F.concat(F.lit("Section: "), F.substring(F.coalesce(F.try_element_at(nonblank_lines(t), F.lit(1)), F.lit("unknown")), 1, 160)))
+    row = lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(squeeze(c), F.lit(""))), " | ")
+    tables = F.filter(F.transform("tables.tables", lambda x, i: F.when(F.size(x["rows"]) > 0, F.concat(F.lit("Table "), i.cast("string"), F.lit("\n"), F.array_join(F.transform(x["rows"], row), "\n")))), lambda x: x.isNotNull())
+
+    @F.pandas_udf("array<string>")
+    def parts(heads: pd.Series, texts: pd.Series, shown: pd.Series) -> pd.Series:
+        return pd.Series([prompt_parts(h, x, list(y), most) for h, x, y in zip(heads, texts, shown)], dtype=object)
+
+    return pages.select("id", F.explode(parts(head, t, F.coalesce(tables, F.array().cast("array<string>")))).alias("prompt"))
+
+
 def normalised_rows(rows: DataFrame, documents: DataFrame) -> DataFrame:
     """id, currency, scale, period, page, value and warnings of each row: its own fields, else the document's.
 

@@ -23,8 +23,11 @@ def ingest(parsed: DataFrame, limit: int = 15) -> dict[str, DataFrame]:
     return {"pages": readable, "scores": scores, "candidates": scores.join(chosen, ["document_id", "page_number"], "left_semi")}
 
 
-def extract(parsed: DataFrame, candidates: DataFrame, report_documents: DataFrame, provider: providers.Provider | None = None) -> dict[str, DataFrame]:
-    """Rows of the candidate pages' tables, normalised and without repetitions; with a provider, its answers as well."""
+def extract(parsed: DataFrame, candidates: DataFrame, report_documents: DataFrame, provider: providers.Provider | None = None, limits: providers.Limits = providers.Limits()) -> dict[str, DataFrame]:
+    """Rows of the candidate pages' tables, normalised and without repetitions; with a provider, its answers as well.
+
+    The provider is shown all of a page: a page longer than a prompt may be has an answer for each of its parts.
+    """
     own = parsed.join(candidates.select("id"), "id", "left_semi")
     found = pages.extract_table_rows(own).join(own.select("id", "document_id", "page_number"), "id")
     raw = found.select(
@@ -37,8 +40,7 @@ def extract(parsed: DataFrame, candidates: DataFrame, report_documents: DataFram
     kept = rows.dedup_neighbouring(latest, ["document_id", "segment_name", "value", "period"], "page", "id")
     result = {"rows": latest.join(kept.select("id"), "id", "left_semi")}
     if provider:
-        shown = documents.excerpts(own).select("id", F.concat_ws("\n", "heading", "table_text", "excerpt").alias("prompt"))
-        result["answers"] = providers.answers(shown, provider)
+        result["answers"] = providers.answers(documents.page_prompts(own, limits.max_prompt_chars), provider, limits)
     return result
 
 
