@@ -217,6 +217,21 @@ def test_residue(spark):
     assert residue.residue(texts(spark, [])).count() == 0
 
 
+def test_residue_of_aligned_records(spark):
+    # one template, filled in many records; its slot left blank, at a default or as a bare name of a variable in some
+    filled = [(k, f"The revenue of {k * 7 + 3} million was reported by the board.") for k in range(20)]
+    left = [
+        (100, "The revenue of million was reported by the board."), (101, "The revenue of segment_total million was reported by the board."), (102, "The revenue of undefined million was reported by the board."),
+        (103, "The revenue of segmentTotal million was reported by the board."), (104, "The revenue of amount million was reported by the board."),
+    ]
+    ordinary = [(200, "The revenue of several million was reported by the board."), (201, "The amount of revenue was unknown to the board."), (202, "The plan was rejected by the company after the vote.")]
+    prose = "The board of the company expects that sales will rise in the coming year. " * 8
+    found = lambda rows: [x[0] for x in pairs(residue.residue(texts(spark, [(k, prose + x) for k, x in rows])), "doc_id")]
+    assert found(filled + left + ordinary) == [100, 101, 102, 103, 104]
+    # without filled records nothing says that a place is a slot
+    assert found(left[:1] + ordinary) == []
+
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
