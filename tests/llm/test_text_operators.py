@@ -232,6 +232,15 @@ def test_residue_of_aligned_records(spark):
     assert found(left[:1] + ordinary) == []
 
 
+@pytest.mark.parametrize("times", [1, 2, 3, 50])
+def test_residue_in_constant_words_at_every_count(spark, times):
+    prose = "The board of the company expects that sales will rise in the coming year. " * 8
+    rows = [(k, f"{prose}\nDear [Company Name], we thank you for the trust of the year.") for k in range(times)]
+    rows += [(1000 + k, f"{prose}\nAll of the figures [in EUR million] are shown without tax as of the day.") for k in range(times)]
+    rows += [(2000 + k, f"{prose}\nWe thank [client] for the trust of the past year.") for k in range(times)] + [(3000, f"{prose}\nWe thank Acme for the trust of the past year.")]
+    assert [x[0] for x in pairs(residue.residue(texts(spark, rows)), "doc_id")] == [*range(times), *range(2000, 2000 + times)]
+
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
