@@ -40,6 +40,13 @@ def fuzzy_similarity(a: Column, b: Column) -> Column:
     return F.greatest(token_similarity(a, b).cast("double"), ratio(alnum_words(a), alnum_words(b)))
 
 
+def may_be_similar(a: Column, b: Column, least: float) -> Column:
+    """Whether fuzzy_similarity, rounded to 4 places, can reach `least`: by words, or by the ratio that lengths allow. Names that are null or without letters can't."""
+    na, nb = alnum_words(a), alnum_words(b)
+    la, lb = F.length(na), F.length(nb)
+    return (na != "") & (nb != "") & ((token_similarity(a, b) >= least - 5.1e-5) | (2 * F.least(la, lb) >= (least - 5.1e-5) * (la + lb)))
+
+
 def candidate_pairs(gold: DataFrame, predicted: DataFrame, key: str, similarity: Column, value_ok: Column, period_ok: Column, page_ok: Column, floor: float = 0.68, least: float = 0.62) -> DataFrame:
     """gold_id, pred_id, key, similarity and score of pairs of one document that may match.
 

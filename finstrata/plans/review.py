@@ -33,7 +33,7 @@ def pair_match_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     gold, pred = _sides(spark, d)
-    close = gold.join(pred, "document_id").where(F.abs(F.length("g_name") - F.length("p_name")) <= 6)
+    close = gold.join(pred, "document_id").where(evaluate.may_be_similar(F.col("g_name"), F.col("p_name"), 0.68))
     return close.select("gold_id", "pred_id", F.round(evaluate.fuzzy_similarity(F.col("g_name"), F.col("p_name")), 4).alias("similarity")).where("similarity >= 0.68")
 
 

@@ -143,3 +143,32 @@ def test_nested_export_and_schemas(spark, tmp_path):
     errors = [r.e for r in answers.select(json_text.schema_errors(F.col("t"), names).alias("e")).collect()]
     assert errors[0] == [] and "missing confidence" in errors[1] and errors[2:] == [["invalid"]] * 3
     assert [r.b for r in spark.createDataFrame([(" ",), (" a ",), (None,)], "x string").select(text.blank_to_null(F.col("x")).alias("b")).collect()] == [None, "a", None]
+
+
+def test_fuzzy_pairs_are_those_of_brute_force(spark, tiny):
+    import re
+    from difflib import SequenceMatcher
+
+    from finstrata.plans import review
+
+    def similarity(a, b):
+        a, b = (" ".join(re.sub(r"[^a-z0-9]+", " ", x.lower()).split()) for x in (a, b))
+        if not a or not b:
+            return 0.0
+        s, t = ({w[:-1] if len(w) > 3 and re.search("[^s]s$", w) else w for w in x.split()} for x in (a, b))
+        both = len(s & t)
+        words = 1.0 if a == b else max(0.84, both / max(len(s), len(t))) if both in (len(s), len(t)) else both / max(len(s), len(t))
+        return round(max(words, SequenceMatcher(None, a, b).ratio()), 4)
+
+    names = ["Ersatzteile", "Ersatzteile division", "Contract Logistics", "Contract Logistics - external", "Water", "Waters and all of the remaining activities", "Packagimg", "Packaging", "", "-", None, "abcdefgh", "abcdefghijklmno", "abcdefghijklmnop"]
+    one = spark.createDataFrame(list(enumerate(names)), "i int, a string")
+    pairs = one.crossJoin(one.select(F.col("i").alias("j"), F.col("a").alias("b")))
+    kept = pairs.where(evaluate.may_be_similar(F.col("a"), F.col("b"), 0.68)).select("i", "j", F.round(evaluate.fuzzy_similarity(F.col("a"), F.col("b")), 4).alias("s")).where("s >= 0.68")
+    expected = sorted((i, j, s) for i, a in enumerate(names) for j, b in enumerate(names) if a and b and (s := similarity(a, b)) >= 0.68)
+    assert values(kept, "i", "j", "s") == expected and (0, 1, 0.84) in expected and (2, 3, 0.84) in expected
+    gold, pred = ([tuple(r) for r in df.collect()] for df in (x.select("document_id", k, n) for x, k, n in zip(review._sides(spark, tiny), ("gold_id", "pred_id"), ("g_name", "p_name"))))
+    by_document = {}
+    for d, i, n in pred:
+        by_document.setdefault(d, []).append((i, n))
+    expected = sorted((g, i, s) for d, g, a in gold for i, b in by_document.get(d, []) if a and b and (s := similarity(a, b)) >= 0.68)
+    assert values(review.pair_match_fuzzy(spark, tiny), "gold_id", "pred_id", "similarity") == expected
