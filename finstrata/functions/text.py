@@ -75,8 +75,13 @@ STOPWORDS = "and are as at business businesses by company division for from grou
 
 def content_tokens(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Distinct lower-case words of more than two characters that aren't stopwords, in order."""
+    return F.array_distinct(content_words(text, stopwords))
+
+
+def content_words(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """content_tokens with repetitions."""
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")), " ")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stopwords)))
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stopwords))
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:

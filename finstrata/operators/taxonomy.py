@@ -6,14 +6,19 @@ The taxonomy is a dimension; it is broadcast only while it has at most MAX_BROAD
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from finstrata.functions.text import content_tokens
+from finstrata.functions.text import content_tokens, content_words
+from finstrata.runtime import cut
 
 MAX_BROADCAST = 100_000
+#: From this ratio of matching blocks on, a node is a candidate without a token in common.
+LEAST_RATIO = 0.45
 LEVEL_BONUS = {"section": 0.00, "division": 0.03, "group": 0.05, "class": 0.07}
 
 
@@ -42,26 +47,42 @@ def lookup_with_ancestor(codes: DataFrame, nodes: DataFrame, code: str) -> DataF
     return both.select(*codes.columns, F.coalesce("own_name", "division_name").alias("node_name"), F.when(F.col("own_name").isNotNull(), "code").when(F.col("division_name").isNotNull(), "division").otherwise("none").alias("resolved"))
 
 
-def candidates(items: DataFrame, nodes: DataFrame, item_id: str, name: str, context: str, k: int = 30) -> DataFrame:
+def candidates(items: DataFrame, nodes: DataFrame, item_id: str, name: str, context: str, k: int = 30, fuzzy: bool = False) -> DataFrame:
     """item_id, node_code, score, rank: nodes that share a token with a text, scored by shares of tokens, best k.
 
     52 % the share of the text's tokens that the node's path has, 28 % the share of the label's tokens that the name has,
     30 points for an equal label, 12 for one that contains the name, and a bonus for depth. The items meet the nodes on
-    tokens, never all with all.
+    tokens, never all with all. fuzzy: 20 % the ratio of matching blocks of name and label besides; nodes without a shared token
+    are candidates if that is at least LEAST_RATIO or their label contains the name. Each distinct name is then compared with every label.
     """
     i = items.select(F.col(item_id).alias("item"), content_tokens(F.coalesce(name, F.lit(""))).alias("nt"), content_tokens(F.concat_ws(" ", name, context)).alias("qt"))
     n = with_paths(nodes).select("node_code", "level", "level_depth", "source_row_number", content_tokens(F.col("node_name")).alias("lt"), content_tokens(F.concat_ws(" ", F.array_join("path_names", " "), "node_name")).alias("pt"))
     shared = i.select("item", "nt", "qt", F.explode("qt").alias("token")).join(small(n.select("node_code", F.explode("pt").alias("token"))), "token").groupBy("item", "node_code").agg(F.count(F.lit(1)).alias("overlap"))
+    if fuzzy:
+        @F.pandas_udf("double")
+        def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+        text = lambda c: F.array_join(content_words(F.coalesce(c, F.lit(""))), " ")
+        named = items.select(F.col(item_id).alias("item"), text(F.col(name)).alias("nw"))
+        ratios = cut(named.select("nw").distinct().crossJoin(small(with_paths(nodes).select("node_code", text(F.col("node_name")).alias("lw")))).select("nw", "node_code", "lw", block_ratio("nw", "lw").alias("fuzzy")))
+        close = ratios.where((F.col("fuzzy") >= LEAST_RATIO) | ((F.col("nw") != "") & F.contains("lw", "nw"))).select("nw", "node_code")
+        shared = shared.unionByName(named.join(close, "nw").select("item", "node_code", F.lit(0).cast("long").alias("overlap"))).groupBy("item", "node_code").agg(F.max("overlap").alias("overlap"))
+        shared = shared.join(named, "item").join(ratios, ["nw", "node_code"])
     joined = shared.join(i, "item").join(small(n), "node_code")
     norm = lambda c: F.array_join(c, " ")
     exact = norm(F.col("nt")) == norm(F.col("lt"))
     inside = (F.size("nt") > 0) & F.contains(norm(F.col("lt")), norm(F.col("nt")))
+    if fuzzy:  # with repeated words
+        exact, inside = F.col("nw") == F.col("lw"), (F.col("nw") != "") & F.contains("lw", "nw")
     d = lambda c: c.cast("decimal(12,8)")
     ratio = lambda a, b: d(a / F.greatest(b, F.lit(1)))
     bonus = F.lit(0.0)
     for level, x in LEVEL_BONUS.items():
         bonus = F.when(F.col("level") == level, F.lit(x)).otherwise(bonus)
     score = ratio(F.col("overlap"), F.size("qt")) * F.lit(0.52).cast("decimal(4,2)") + ratio(F.size(F.array_intersect("nt", "lt")), F.size("lt")) * F.lit(0.28).cast("decimal(4,2)") + d(F.when(exact, 0.30).when(inside, 0.12).otherwise(0.0)) + d(bonus)
+    if fuzzy:
+        score = score + d(F.col("fuzzy")) * F.lit(0.20).cast("decimal(4,2)")
     scored = joined.select("item", "node_code", F.round(F.least(score, F.lit(1).cast("decimal(12,8)")), 4).cast("decimal(6,4)").alias("score"), "level_depth", "source_row_number")
     w = W.partitionBy("item").orderBy(F.desc("score"), F.desc("level_depth"), "source_row_number")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("item").alias(item_id), "node_code", "score", "rank")

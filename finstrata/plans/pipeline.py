@@ -46,7 +46,7 @@ def extract(parsed: DataFrame, candidates: DataFrame, report_documents: DataFram
 
 def classify(rows_: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """id, node_code, score, rank: the best activities of each row's name."""
-    return taxonomy.candidates(rows_.withColumn("context", F.lit("")), nodes, "id", "segment_name", "context", k)
+    return taxonomy.candidates(rows_.withColumn("context", F.lit("")), nodes, "id", "segment_name", "context", k, fuzzy=True)
 
 
 def check(rows_: DataFrame, report_documents: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small rows with results stated by hand or by a plain restatement."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,7 +147,6 @@ def test_nested_export_and_schemas(spark, tmp_path):
 
 
 def test_fuzzy_pairs_are_those_of_brute_force(spark, tiny):
-    import re
     from difflib import SequenceMatcher
 
     from finstrata.plans import review
@@ -172,3 +172,29 @@ def test_fuzzy_pairs_are_those_of_brute_force(spark, tiny):
         by_document.setdefault(d, []).append((i, n))
     expected = sorted((g, i, s) for d, g, a in gold for i, b in by_document.get(d, []) if a and b and (s := similarity(a, b)) >= 0.68)
     assert values(review.pair_match_fuzzy(spark, tiny), "gold_id", "pred_id", "similarity") == expected
+
+
+def test_taxonomy_ratio_against_a_plain_restatement(spark):
+    from difflib import SequenceMatcher
+
+    from finstrata.plans import pipeline
+
+    words = lambda x: [w for w in re.sub("[^a-z0-9]+", " ", x.lower()).split() if len(w) > 2 and w not in ("and", "the", "other")]
+    labels = ["Forestry", "Cement and lime", "Retail trade", "Trade of forestry goods", "Real estate"]
+    nodes = spark.createDataFrame([(f"n{k}", x, "class", 4, k, f"n{k}", x) for k, x in enumerate(labels)], "node_code string, node_name string, level string, level_depth int, source_row_number int, hierarchy_path_codes string, hierarchy_path_names string")
+    names = ["Forrestry", "Forestry", "Cement", "Ceme", "Retial", "trade trade", "Other", "", "zzzz"]
+    expected = set()
+    for i, name in enumerate(names):
+        for k, label in enumerate(labels):
+            a, b = words(name), words(label)
+            x, y = " ".join(a), " ".join(b)
+            overlap, ratio, inside = set(a) & set(b), SequenceMatcher(None, x, y).ratio(), bool(x) and x in y
+            if overlap or ratio >= 0.45 or inside:
+                score = 0.52 * len(overlap) / max(len(set(a)), 1) + 0.28 * len(overlap) / len(set(b)) + 0.2 * ratio + (0.3 if x == y else 0.12 if inside else 0) + 0.07
+                expected.add((str(i), f"n{k}", round(min(score, 1.0), 3)))
+    rows_ = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "id string, segment_name string")
+    got = {(r.id, r.node_code, round(float(r.score), 3)) for r in pipeline.classify(rows_, nodes, 9).collect()}
+    tidy = lambda x: sorted((i, n) for i, n, _ in x)
+    assert tidy(got) == tidy(expected) and ("0", "n0") in tidy(got)
+    stated = {(i, n): s for i, n, s in expected}
+    assert all(abs(s - stated[i, n]) < 0.002 for i, n, s in got)
