@@ -203,7 +203,7 @@ def noise(pages: DataFrame, max_frequent: int = MAX_FREQUENT) -> DataFrame:
     # at most total / least words can be seen `least` times
     least = max(5, -(-total // max_frequent))
     often = lexicon.where(F.col("n") >= least).join(wrong.select("word").distinct(), "word", "left_anti")
-    frequent = {r.word for r in often.where(F.length("word") <= 60).select("word").collect()}
+    frequent = {r.word for r in often.where(F.length("word") <= 60).select("word").collect() if not is_misread_number(r.word)}
     seen = cut(suspects(pages, frequent))
     rare = seen.where(F.col("kind").isin(RARE, NUMBER)).join(wrong, "word")
     several = wrong.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("word")
@@ -221,10 +221,11 @@ def noise(pages: DataFrame, max_frequent: int = MAX_FREQUENT) -> DataFrame:
         order = F.struct((-F.round(F.col("cost"), 0)).alias("c"), F.coalesce("n_pair", F.lit(0)).alias("p"), (-F.col("cost")).alias("d"), F.col("n_repair").alias("f"), "repair")
     misread = rare.groupBy("page_id", "line_no", "word").agg(F.max(order)["repair"].alias("repair"))
     numbers = seen.where(F.col("kind") == NUMBER).join(wrong.select("word").distinct(), "word", "left_anti").join(lexicon, "word", "left")
-    # a code that the corpus uses often (B2B, CO2) is no number
-    numbers = numbers.where(F.coalesce("n", F.lit(0)) < F.greatest(F.lit(MIN_TARGET), F.lit(total // 100_000))).select(
-        "page_id", "line_no", "word", F.translate("word", "".join(DIGIT_LOOKALIKES), "".join(DIGIT_LOOKALIKES.values())).alias("repair")
-    )
+    numbers = numbers.select("page_id", "line_no", "word", F.coalesce("n", F.lit(0)).alias("n"), F.translate("word", "".join(DIGIT_LOOKALIKES), "".join(DIGIT_LOOKALIKES.values())).alias("repair"))
+    numbers = numbers.join(lexicon.select(F.col("word").alias("repair"), F.col("n").alias("n_repair")), "repair", "left")
+    # a code that the corpus uses often (B2B, CO2) is no number, unless it is far rarer than the number: then it is a misreading at any count
+    rare_form = F.col("n") < F.greatest(F.lit(MIN_TARGET), F.lit(total // 100_000))
+    numbers = numbers.where(rare_form | (F.col("n") * MIN_RATIO <= F.col("n_repair"))).select("page_id", "line_no", "word", "repair")
     cuts = cut_words(seen.where(F.col("kind") == CUT), lexicon)
     # a cut word may be misread as well: on the line that holds the wrong character
     spoilt = (

@@ -202,6 +202,13 @@ def test_edits_within_the_budget_are_regions(spark):
     assert eval_leaks.leak_regions(texts(spark, [(1, near)]), frame.limit(0)).count() == 0
 
 
+def test_misread_years_are_found_however_often_they_stand(spark):
+    rows = [(f"y{k}", "d", None, "sales of the year 2020 and of the year 2020 rose", "en") for k in range(300)]
+    rows += [(f"m{k}", "d", None, "sales of the year z020 rose", "en") for k in range(25)] + [(f"q{k}", "d", None, "sales of q3 rose, 93 orders", "en") for k in range(25)]
+    found = {r.page_id for r in page_noise.noise(pages(spark, rows)).where("noise_kind = 'misread'").collect()}
+    assert found == {f"m{k}" for k in range(25)}
+
+
 def test_residue(spark):
     prose = "The board of the company expects that sales will rise in the coming year."
     rows = [
