@@ -2,7 +2,8 @@
 
 Every distinct name is read into its own word (core), its line of business and its legal form. Cores
 meet in blocks of their suffixes (and of their beginning), within a line of business; a block that is
-still too common is split by the core's other end, where longer suffixes of the same core take over. Pairs that meet are compared by the ratio of their longest common
+still too common is split by the core's other end, where longer suffixes of the same core take over. Whatever is within one edit meets
+besides in blocks of the core without one letter, which no size splits. Pairs that meet are compared by the ratio of their longest common
 subsequence and by edits. Links are closed to entities by propagating the smallest label.
 
 Edge cases: null names are left out; names without letters are entities of their own; a name given many
@@ -20,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finstrata.llm.symmetric_delete import weighted_distance
+from finstrata.llm.confusions import fold_str
+from finstrata.llm.symmetric_delete import deletes, weighted_distance
 from finstrata.runtime import cut
 
 # Legal forms, written without points and slashes.
@@ -157,6 +159,13 @@ def variant_links(forms: DataFrame) -> DataFrame:
     keyed = indexed.join(sizes, ["suffix", "line"]).select(
         "form", "core", F.concat_ws("|", "line", "suffix", F.when(F.col("n") > MAX_BLOCK, other_end)).alias("block")
     )
+    # and what is one edit, or confusions only, apart meets at every size of the blocks: by what is left without one letter, or folded
+
+    @F.pandas_udf("array<string>")
+    def edits(cores: pd.Series) -> pd.Series:
+        return cores.map(lambda c: sorted(deletes(c, 1)) + ["=" + fold_str(c)])
+
+    keyed = keyed.unionByName(full.where(F.length("core") >= 5).select("form", "core", "line", F.explode(edits("core")).alias("edit")).select("form", "core", F.concat_ws("|", "line", F.lit("~"), "edit").alias("block")))
     left, right = keyed.select(F.col("form").alias("a"), F.col("core").alias("core_a"), "block"), keyed.select(F.col("form").alias("b"), F.col("core").alias("core_b"), "block")
     near = (F.abs(F.length("core_a") - F.length("core_b")) <= 1) & (F.col("a") < F.col("b"))
     pairs = left.join(right, "block").where(near).select("a", "b", "core_a", "core_b").distinct()

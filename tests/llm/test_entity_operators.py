@@ -70,6 +70,15 @@ def test_both_ways_to_resolve_agree(spark):
     assert canonical_values.resolve(typed.limit(0), listed).count() == 0
 
 
+@pytest.mark.parametrize("others", [10, 60, 200])
+def test_one_edit_is_linked_at_every_block_size(spark, others):
+    rng = random.Random(3)
+    cores = ["nationaltaxor", "nationaltaxro", "zzvoltane", "zzvo1tane"] + ["national" + "".join(rng.choices("bcdfghjk", k=7)) + "ro" for _ in range(others)]
+    forms = spark.createDataFrame([(k, c, "foods", False, c) for k, c in enumerate(cores)], "form long, core string, line string, alias boolean, typed string")
+    links = {(r.a, r.b) for r in name_variants.variant_links(forms).collect()}
+    assert {(0, 1), (2, 3)} <= links
+
+
 COMPANIES = [
     ["Nakazukel Foods S.p.A.", "Foods, Nakazukel S.p.A.", "NAKAZUKEL FOODS S.P.A.", "Nakazukel Fooas Societa per azioni", "NakazuFoo", "Nakazukel Foods S.p.A. (NakazuFoo)", "Nakzukel Foods Spa", " Nakazukel-Foods"],
     ["Nakazukel Energy Ltd", "Ltd Nakazukel Energy", "Nakazukel Energy Limited", "Nakazukel Enrgy Ltd."],
