@@ -93,8 +93,12 @@ _CODE = re.compile(r"^(?P<a>[\doilsbzgq|]{1,2})\s*[.,/\-:\s]\s*(?P<b>[\doilsbzgq
 _AROUND_CODE = re.compile(r"\b(?:nace|rev|code|class|klasse|classe|isic)\b[.:#]?|[#:]|\br\.?2\b")
 
 
-def read_code(text: str, codes: set[str]) -> str | None:
-    """The class code that a text is, in one of the usual notations; None if it isn't one of codes."""
+_CODE_BESIDE = re.compile(r"[(\[]?\b[A-Za-z]?\s?[\dOolI]{1,2}\s?[.,/\-]\s?[\dOolI]{2}\b[)\]]?")
+_CODE_PART = re.compile(r"\b[\dOolI]{1,2}[.,/\-][\dOolI]{2}\b")
+
+
+def code_readings(text: str) -> list[str]:
+    """The class codes that a text may be, in one of the usual notations."""
     text = re.sub(r"\s+", " ", _AROUND_CODE.sub(" ", text.lower())).strip(" .;,()[]")
     readings = []
     for t in (text, re.sub(r"^[a-z]\s*(?=[\doil]{2})", "", text)):
@@ -106,7 +110,12 @@ def read_code(text: str, codes: set[str]) -> str | None:
         else:
             c = m["c"].translate(_DIGITS).zfill(4)
             readings.append((c[:2], c[2:]))
-    return next((f"{a}.{b}" for a, b in readings if f"{a}.{b}" in codes), None)
+    return [f"{a}.{b}" for a, b in readings]
+
+
+def read_code(text: str, codes: set[str]) -> str | None:
+    """The class code that a text is; None if it isn't one of codes."""
+    return next((c for c in code_readings(text) if c in codes), None)
 
 
 def best_class(text: str, index: SymmetricDeleteIndex, labels: dict[str, str]) -> str:
@@ -115,11 +124,11 @@ def best_class(text: str, index: SymmetricDeleteIndex, labels: dict[str, str]) -
     whole = read_code(text, codes)
     if whole:
         return whole
-    name = re.sub(r"[(\[]?\b[A-Za-z]?\s?[\dOolI]{1,2}\s?[.,/\-]\s?[\dOolI]{2}\b[)\]]?", " ", text)
+    name = _CODE_BESIDE.sub(" ", text)
     by_name = best_name(name, index, labels) if re.search(r"[^\W\d_]{3}", name) else NONE
     if by_name != NONE:
         return by_name
-    beside = [c for c in (read_code(x, codes) for x in re.findall(r"\b[\dOolI]{1,2}[.,/\-][\dOolI]{2}\b", text)) if c]
+    beside = [c for c in (read_code(x, codes) for x in _CODE_PART.findall(text)) if c]
     return beside[0] if len(set(beside)) == 1 and re.search(r"[^\W\d_]{3}", name) else NONE
 
 
@@ -130,7 +139,7 @@ def resolve(values: DataFrame, reference: DataFrame, best: Callable[[str, Symmet
     entries = listed.limit(MAX_BROADCAST + 1).collect()
     distinct = values.where(F.col("value").isNotNull()).select("value").distinct()
     if len(entries) > MAX_BROADCAST:
-        return resolve_by_join(distinct, listed)
+        return resolve_by_join(distinct, listed, best=best)
     listed_rows = sorted((words_only(r.label), r.key, r.frequency) for r in entries)
     shared = spark.sparkContext.broadcast(listed_rows)
 
@@ -143,20 +152,48 @@ def resolve(values: DataFrame, reference: DataFrame, best: Callable[[str, Symmet
     return distinct.mapInPandas(look_up, "value string, ref_key string")
 
 
-def resolve_by_join(distinct: DataFrame, listed: DataFrame, most: int = 2) -> DataFrame:
-    """The same for a list of any length: values and labels meet on their deletes."""
+def _initials(words: list[str]) -> str:
+    """What an abbreviation has in common with its label: the number of words and their first letters, or the beginning of the only word."""
+    return "a:" + (words[0][:5] if len(words) == 1 else " ".join(w[:1] for w in words))
+
+
+def _value_keys(value: str, most: int) -> list[str]:
+    """The keys of all labels that a value may mean: within edits, as an abbreviation, by a code in it."""
+    forms = {f for x in (value, _CODE_BESIDE.sub(" ", value)) for f in name_forms(x)}
+    codes = {c for x in (value, *_CODE_PART.findall(value)) for c in code_readings(x)}
+    return sorted({f"d:{d}" for f in forms for d in deletes(f, most)} | {_initials(f.split()) for f in forms} | {f"c:{c}" for c in codes})
+
+
+def _label_keys(label: str, key: str, most: int) -> list[str]:
+    text = words_only(label)
+    return sorted({f"d:{d}" for d in deletes(text, most)} | ({_initials(text.split())} if text else set()) | {f"c:{key}"})
+
+
+def resolve_by_join(distinct: DataFrame, listed: DataFrame, most: int = 2, best: Callable[[str, SymmetricDeleteIndex, dict[str, str]], str] = best_name) -> DataFrame:
+    """The same for a list of any length: `best` picks among the entries that a value meets on deletes, on a code, or as an abbreviation."""
+
+    @F.pandas_udf("array<string>")
+    def value_keys(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: _value_keys(v, most))
 
     @F.pandas_udf("array<string>")
-    def deletes_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted({d for f in name_forms(t) for d in deletes(f, most)}))
-
-    @F.pandas_udf("double")
-    def distance(values: pd.Series, labels: pd.Series) -> pd.Series:
-        far = lambda v, b: min((x for f in name_forms(v) if (x := weighted_distance(f, words_only(b), limit_of(f))) <= limit_of(f)), default=None)
-        return pd.Series([far(v, b) for v, b in zip(values, labels)], dtype="float64")
-
-    left = distinct.select("value", F.explode(deletes_of("value")).alias("d"))
-    right = listed.select("label", "key", "frequency", F.explode(deletes_of("label")).alias("d"))
-    near = left.join(right, "d").select("value", "label", "key", "frequency").distinct().withColumn("distance", distance("value", "label"))
-    best = near.where(F.col("distance").isNotNull()).groupBy("value").agg(F.min(F.struct("distance", (-F.col("frequency")).alias("f"), "key"))["key"].alias("ref_key"))
-    return distinct.join(best, "value", "left").select("value", F.coalesce("ref_key", F.lit(NONE)).alias("ref_key"))
+    def label_keys(labels: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([_label_keys(x, k, most) for x, k in zip(labels, keys)], dtype=object)
+
+    @F.pandas_udf("boolean")
+    def fits(values: pd.Series, labels: pd.Series, by: pd.Series) -> pd.Series:  # of those that share first letters, few are abbreviated
+        forms = lambda v: {f for x in (v, _CODE_BESIDE.sub(" ", v)) for f in name_forms(x)}
+        return pd.Series([b[:2] != "a:" or any(abbreviates(f, words_only(x)) for f in forms(v)) for v, x, b in zip(values, labels, by)], dtype=bool)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for value, near in zip(batch["value"], batch["near"]):
+                entries = sorted((words_only(x["label"]), x["key"], x["frequency"]) for x in (() if near is None else near))
+                out.append(best(value, SymmetricDeleteIndex(entries), {text: key for text, key, _ in entries}))
+            yield pd.DataFrame({"value": batch["value"], "ref_key": out})
+
+    left = distinct.select("value", F.explode(value_keys("value")).alias("k"))
+    right = listed.select("label", "key", "frequency", F.explode(label_keys("label", "key")).alias("k"))
+    near = left.join(right, "k").where(fits("value", "label", "k")).select("value", F.struct("label", "key", "frequency").alias("x")).groupBy("value").agg(F.collect_set("x").alias("near"))
+    return distinct.join(near, "value", "left").select("value", "near").mapInPandas(pick, "value string, ref_key string")

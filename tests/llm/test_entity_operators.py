@@ -70,6 +70,18 @@ def test_both_ways_to_resolve_agree(spark):
     assert canonical_values.resolve(typed.limit(0), listed).count() == 0
 
 
+def test_a_long_list_is_resolved_as_a_short_one(spark, monkeypatch):
+    rows = [(a, b, 1) for a, b in REFERENCE] + [("fodder roots", "01.14", 1), ("woven linen", "15.14", 1), ("woven linens", "15.15", 3)]
+    listed = spark.createDataFrame(rows, "label string, key string, frequency long")
+    typed = spark.createDataFrame([(x,) for x in ("A 01.14", "0114", "l5.14", "fodder roots (01.14)", "something else (01.14)", "NACE Rev. 01.14", "fodder rots", "Cem. and Lime", "wov. linen", "woven lin", "83.11", "Total", "", "woven linenx")], "value string")
+    for best in (canonical_values.best_class, canonical_values.best_name):
+        short = {r.value: r.ref_key for r in canonical_values.resolve(typed, listed, best).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(canonical_values, "MAX_BROADCAST", 2)
+            assert {r.value: r.ref_key for r in canonical_values.resolve(typed, listed, best).collect()} == short
+    assert short["Cem. and Lime"] == "cement"
+
+
 @pytest.mark.parametrize("others", [10, 60, 200])
 def test_one_edit_is_linked_at_every_block_size(spark, others):
     rng = random.Random(3)
