@@ -104,11 +104,12 @@ _SEG = "trim(regexp_replace(regexp_replace(regexp_replace(lower(segment_name), '
 SQL: dict[str, str] = {
     "p1_found": f"""WITH l AS (SELECT id, document_id, page_number, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM parsed_pages),
 f AS (SELECT id, document_id, line_no, {_FOLDED.format('x')} AS f, {_FOLDED.format('CAST(page_number AS VARCHAR)')} AS n FROM l WHERE length(regexp_replace(x, '[^\\pL]', '', 'g')) >= 12),
-k AS (SELECT id, document_id, line_no, regexp_replace(coalesce({_OWN.format(_OWN.format('f', 'n'), 'n')}, f), '\\s+', '', 'g') AS a, regexp_replace(f, '\\s+', '', 'g') AS b FROM f),
-c AS (SELECT document_id, key, count(DISTINCT id) AS n FROM (SELECT document_id, id, a AS key FROM k UNION SELECT document_id, id, b FROM k) GROUP BY 1, 2),
-p AS (SELECT document_id, count(*) AS pages FROM parsed_pages GROUP BY 1),
-q AS (SELECT document_id, key FROM c JOIN p USING (document_id) WHERE n >= 4 AND n * 3 >= pages)
-SELECT id AS page_id, CAST(line_no AS BIGINT) AS line_no FROM k WHERE EXISTS (SELECT 1 FROM q WHERE q.document_id = k.document_id AND q.key = k.a) OR EXISTS (SELECT 1 FROM q WHERE q.document_id = k.document_id AND q.key = k.b)""",
+k AS (SELECT id, coalesce('=' || document_id, '') AS source, line_no, regexp_replace(CASE WHEN contains(f, n) THEN {_OWN.format(_OWN.format('f', 'n'), 'n')} ELSE f END, '\\s+', '', 'g') AS a, regexp_replace(f, '\\s+', '', 'g') AS b FROM f),
+i AS (SELECT id, source, line_no, a AS key FROM k UNION SELECT id, source, line_no, b FROM k),
+c AS (SELECT source, key, count(DISTINCT id) AS n FROM i GROUP BY 1, 2),
+p AS (SELECT coalesce('=' || document_id, '') AS source, count(*) AS pages FROM parsed_pages GROUP BY 1),
+q AS (SELECT source, key FROM c JOIN p USING (source) WHERE n >= 4 AND n * 3 >= pages)
+SELECT DISTINCT id AS page_id, CAST(line_no AS BIGINT) AS line_no FROM i JOIN q USING (source, key)""",
     "p7_found": f"""WITH r AS (SELECT row_id, document_id, {_SEG} AS seg, CASE WHEN regexp_matches(fiscal_period, '(19|20)\\d{{2}}') THEN CAST(list_last(regexp_extract_all(fiscal_period, '(?:19|20)\\d{{2}}')) AS INT) WHEN regexp_matches(fiscal_period, '(?i)FY\\s?''?\\d{{2}}') THEN 2000 + CAST(regexp_extract(fiscal_period, '(?i)FY\\s?''?(\\d{{2}})', 1) AS INT) END AS y,
 coalesce(CAST(normalized_value AS DECIMAL(38,6)), CAST(nullif(regexp_replace(revenue_raw, '[^\\d]', '', 'g'), '') AS DECIMAL(38,6)), CAST(nullif(regexp_replace(regexp_extract(evidence_text, '(\\d[\\d ,.'']*[.,]\\d) \\pL', 1), '[^\\d]', '', 'g'), '') AS DECIMAL(38,6)) * 100000) AS v,
 CAST(normalized_value IS NOT NULL AS INT) + CAST(page_number IS NOT NULL AS INT) + CAST(fiscal_period IS NOT NULL AS INT) AS filled, extracted_at, confidence FROM prepared_rows),

@@ -78,7 +78,41 @@ def test_misread_repetitions_and_sequences(spark):
     df = pages(spark, rows)
     assert len(pairs(repeated_lines.repeated_line_occurrences(df), "page_id", "line_no")) == 12
     found = repeated_lines.frequent_sequences(df).collect()
-    assert sorted((len(r.sequence), r.support) for r in found) == [(1, 6), (1, 6), (2, 6)]
+    assert sorted((len(r.sequence), r.support) for r in found) == [(2, 6)]  # either line alone has no more
+
+
+def closed_by_brute_force(sequences, least):
+    """Every pattern of at least `least` sequences that no longer pattern has as many of."""
+    support = {}
+    for items in sequences:
+        for p in {tuple(x for k, x in enumerate(items) if mask >> k & 1) for mask in range(1, 1 << len(items))}:
+            support[p] = support.get(p, 0) + 1
+    frequent = {p: n for p, n in support.items() if n >= least}
+    within = lambda p, q: (lambda rest: all(x in rest for x in p))(iter(q))
+    return sorted((p, n) for p, n in frequent.items() if not any(len(q) > len(p) and m == n and within(p, q) for q, m in frequent.items()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sequences_of_any_length_are_mined(spark, seed):
+    rng = random.Random(seed)
+    known = [f"line of repeated words {w}" for w in ("alpha", "orbit", "planet", "summer", "forest", "yacht", "jumping")]
+    rows, sequences = [], {"a": [], None: []}
+    for d in sequences:
+        for n in range(1, 13):
+            own = known[:4] * (rng.random() < 0.8) + [x for x in known[4:] if rng.random() < 0.6]
+            if rng.random() < 0.2:
+                rng.shuffle(own)
+            own += own[:1] if rng.random() < 0.2 else []
+            rows.append((f"{d}{n}", d, n, "\n".join(own), None))
+            sequences[d].append(own)
+    got = {}
+    for r in repeated_lines.frequent_sequences(pages(spark, rows)).collect():
+        got.setdefault(r.document_id, []).append((tuple(r.sequence), r.support))
+    key = {r.k: x for x in known for r in spark.range(1).select(F.xxhash64(F.regexp_replace(confusions.fold(F.lit(x)), r"\s+", "")).alias("k")).collect()}
+    for d, own in sequences.items():
+        assert sorted((tuple(key[k] for k in p), n) for p, n in got[d]) == closed_by_brute_force(own, 4)
+    one = [(str(n), None, None, "\n".join(known[:5]) + f"\nown text of the page {'abcde'[n]}", None) for n in range(5)]
+    assert [(r.document_id, len(r.sequence), r.support) for r in repeated_lines.frequent_sequences(pages(spark, one)).collect()] == [(None, 5, 5)]
 
 
 def test_repeated_lines_of_nothing(spark):
