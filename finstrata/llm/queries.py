@@ -99,12 +99,13 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_fo
 _FOLDED = "translate(lower({}), '" + confusions._FROM + "', '" + confusions._TO + "')"
 for _single, _pair in confusions._WIDER:
     _FOLDED = f"replace({_FOLDED}, '{_single}', '{_pair}')"
-_OWN = "regexp_replace({0}, '(^|[^\\pL\\pN])' || {1} || '([^\\pL\\pN]|$)', '\\1#\\2', 'g')"
+# the page's own number: a run of letters and digits that is nothing else
+_OWN = "translate(replace(regexp_replace(f, '([\\pL\\pN]+)', '<\\1>', 'g'), '<' || n || '>', '#'), '<>', '')"
 _SEG = "trim(regexp_replace(regexp_replace(regexp_replace(lower(segment_name), '\\(\\d+\\)\\s*$|[*.†‡:]+\\s*$', '', 'g'), '[*.†‡:]+\\s*$', '', 'g'), '[\\s\\-]+', ' ', 'g'))"
 SQL: dict[str, str] = {
     "p1_found": f"""WITH l AS (SELECT id, document_id, page_number, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM parsed_pages),
-f AS (SELECT id, document_id, line_no, {_FOLDED.format('x')} AS f, {_FOLDED.format('CAST(page_number AS VARCHAR)')} AS n FROM l WHERE length(regexp_replace(x, '[^\\pL]', '', 'g')) >= 12),
-k AS (SELECT id, coalesce('=' || document_id, '') AS source, line_no, regexp_replace(CASE WHEN contains(f, n) THEN {_OWN.format(_OWN.format('f', 'n'), 'n')} ELSE f END, '\\s+', '', 'g') AS a, regexp_replace(f, '\\s+', '', 'g') AS b FROM f),
+f AS (SELECT id, document_id, line_no, translate({_FOLDED.format('x')}, '<>', '‹›') AS f, {_FOLDED.format('CAST(page_number AS VARCHAR)')} AS n FROM l WHERE length(regexp_replace(x, '[^\\pL]', '', 'g')) >= 12),
+k AS (SELECT id, coalesce('=' || document_id, '') AS source, line_no, regexp_replace(CASE WHEN contains(f, n) THEN {_OWN} ELSE f END, '\\s+', '', 'g') AS a, regexp_replace(f, '\\s+', '', 'g') AS b FROM f),
 i AS (SELECT id, source, line_no, a AS key FROM k UNION SELECT id, source, line_no, b FROM k),
 c AS (SELECT source, key, count(DISTINCT id) AS n FROM i GROUP BY 1, 2),
 p AS (SELECT coalesce('=' || document_id, '') AS source, count(*) AS pages FROM parsed_pages GROUP BY 1),
