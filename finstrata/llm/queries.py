@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finstrata.llm import canonical_values, confusions, eval_leaks, languages, name_variants, page_noise, repeated_lines, residue, survivorship
+from finstrata.llm import canonical_values, confusions, eval_leaks, languages, name_variants, packing, page_noise, repeated_lines, residue, survivorship
 from finstrata.runtime import table
 
+#: Vocabulary whose tokens the containers are measured in.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FACT_FIELDS = ["normalized_value", "page_number", "fiscal_period"]
 
 
@@ -84,6 +86,11 @@ def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.survivors(facts, "fact_id", fields).drop("fact_id")
 
 
+def p8_packed(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    packed = packing.pack_kinds(table(spark, d, "documents", spread=True), table(spark, d, "containers"), tokenizer)
+    return packed.withColumn("item", F.col("item").cast("long")).withColumnRenamed("item", "doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     # a run of 13 words is a stretch with no edit at all, so the lemma's bound is exact at an edit budget of 0
     return eval_leaks.leaked_items(table(spark, d, "documents", spread=True), table(spark, d, "eval_items"), edits=0)
@@ -93,7 +100,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents", spread=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_found, p3_found, p3_pages, p4_found, p4_readable, p5_found, p5_entities, p7_found, p7_survivors, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_found, p3_found, p3_pages, p4_found, p4_readable, p5_found, p5_entities, p7_found, p7_survivors, p8_packed, p9_found, p10_found)}
 
 # SQL for those that it can express. The others are tested against brute force and stated cases in tests/llm.
 _FOLDED = "translate(lower({}), '" + confusions._FROM + "', '" + confusions._TO + "')"

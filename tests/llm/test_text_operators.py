@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,12 +309,20 @@ def test_packing(spark):
     assert packing.pack(texts(spark, []), 512, TOKENIZER).count() == 0
     with pytest.raises(ValueError):
         packing.pieces(df, 0, TOKENIZER)
+    kinds = spark.createDataFrame([("small", 100), ("large", 512), ("large", 512), (None, 5), ("none", None)], "container_kind string, capacity_tokens int")
+    both = packing.pack_kinds(df, kinds, TOKENIZER)
+    total = {r.container_kind: (r.t, r.m) for r in both.groupBy("container_kind", "container").agg(F.sum("tokens").alias("u")).groupBy("container_kind").agg(F.sum("u").alias("t"), F.max("u").alias("m")).collect()}
+    n = sized.agg(F.sum("tokens")).first()[0]
+    assert set(total) == {"small", "large"} and {t for t, _ in total.values()} == {n} and total["small"][1] <= 100
+    assert packing.pack_kinds(df, kinds.limit(0), TOKENIZER).count() == 0
+    same = texts(spark, [(1, "one text that is here again and again")] * 900)  # neither equal texts nor equal ids make a shard larger
+    assert packing.pack(same, 512, TOKENIZER, shard=100).count() == 900
 
 
 def test_packing_is_settled_by_the_data(spark):
     sizes = [5, 4, 3, 3, 2, 1, 1]
     import numpy as np
 
-    held = packing.pack_shard([(str(k), 0) for k in range(7)], np.array(sizes), [["a"], ["b"], ["a"], ["b"], ["a"], ["c"], ["c"]], 8)
+    held = packing.pack_shard([(str(k), 0) for k in range(7)], np.array(sizes), [Counter(w) for w in "ababacc"], 8)
     assert sorted(k for c in held for k in c) == list(range(7))
     assert held[0] == [0, 2] and all(sum(sizes[k] for k in c) <= 8 for c in held)
