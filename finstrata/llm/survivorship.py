@@ -99,31 +99,31 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def survivors(
-    rows: DataFrame, group: str, fields: list[str], source: str = "extractor", at: str = "extracted_at", row_id: str = "row_id", priority: dict[str, int] | None = None
+    rows: DataFrame, group: str, fields: list[str], source: str = "extractor", at: str = "extracted_at", row_id: str = "row_id", trust: str = "confidence",
+    priority: dict[str, int] | None = None, complete: list[str] | None = None,
 ) -> DataFrame:
-    """One row per group with the best value of every field, and how many rows it was made of."""
+    """One row per group with the best value of every field, in one aggregation.
+
+    first_id and n_rows tell what it was made of. best_id is the fullest row, the latest of several; dominant says
+    that it is as full as any other in the fields of `complete` (all, if not given), later and more trusted than each.
+    """
     ranks = F.create_map(*[F.lit(x) for kv in (priority or SOURCE_PRIORITY).items() for x in kv])
     rank = F.coalesce(F.try_element_at(ranks, F.col(source)), F.lit(-1))
     best = lambda f: F.max(F.struct(F.col(f).isNotNull().alias("filled"), rank.alias("rank"), F.col(at).alias("at"), F.col(row_id).alias("id"), F.col(f).alias("value")))
-    return rows.groupBy(group).agg(
-        F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("n_rows"), *[best(f)["value"].alias(f) for f in fields]
-    )
+    filled = sum((F.col(f).isNotNull().cast("int") for f in complete or fields), F.lit(0))
+    row = lambda *keys: F.max(F.struct(*keys, F.col(row_id).alias("id")))
+    # the smallest id of the greatest value: if it differs from the greatest id, several rows share the value
+    shared = lambda c, back: F.min(F.when(c.isNotNull(), F.struct(back.alias("back"), F.col(row_id).alias("id"))))["id"]
+    made = rows.groupBy(group).agg(
+        F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("n_rows"),
+        row(filled.alias("filled"), F.col(at).alias("at")).alias("_best"), row(F.col(at).alias("at"))["id"].alias("_late"), row(F.col(trust).alias("trust"))["id"].alias("_sure"),
+        shared(F.col(at), -F.unix_micros(at)).alias("_late0"), shared(F.col(trust), -F.col(trust)).alias("_sure0"),
+        *[best(f)["value"].alias(f) for f in fields],
+    )
+    only = [F.coalesce(F.col(c) == F.col("_best.id"), F.lit(False)) for c in ("_late", "_sure", "_late0", "_sure0")]
+    return made.select(group, "first_id", "n_rows", F.col("_best.id").alias("best_id"), (only[0] & only[1] & only[2] & only[3]).alias("dominant"), *[f for f in fields])
 
 
-def dominating_rows(rows: DataFrame, group: str, fields: list[str], at: str = "extracted_at", trust: str = "confidence", row_id: str = "row_id") -> DataFrame:
-    """first_id, best_id of each group of two or more in which one row is the most complete, the latest and the most trusted."""
-    filled = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
-    latest, surest = F.struct(F.col(at), F.col(row_id), filled.alias("filled")), F.struct(F.col(trust), F.col(row_id))
-    # the smallest id of the greatest timestamp: if it differs from the greatest id, the timestamp is shared
-    early = F.struct((-F.unix_micros(at)).alias("back"), F.col(row_id))
-    unsure = F.struct((-F.col(trust)).alias("back"), F.col(row_id))
-    summed = rows.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.min(row_id).alias("first_id"), F.max(filled).alias("most"),
-        F.max(latest).alias("latest"), F.max(surest).alias("surest"),
-        F.min(F.when(F.col(at).isNotNull(), early)).alias("early"), F.min(F.when(F.col(trust).isNotNull(), unsure)).alias("unsure"),
-    )
-    best = F.col(f"latest.{row_id}")
-    return summed.where(
-        (F.col("n") >= 2) & (F.col("latest.filled") == F.col("most")) & (F.col(f"surest.{row_id}") == best)
-        & (F.col(f"early.{row_id}") == best) & (F.col(f"unsure.{row_id}") == best)
-    ).select("first_id", best.alias("best_id"))
+def dominating_rows(rows: DataFrame, group: str, fields: list[str], **options) -> DataFrame:
+    """first_id, best_id of the survivors of two or more rows that are one of their rows: the most complete, the latest and the most trusted."""
+    return survivors(rows, group, fields, **options).where("n_rows >= 2 AND dominant").select("first_id", "best_id")
