@@ -3,8 +3,9 @@
 Texts and items are compared as their words (runs of a-z and 0-9 of the lower-cased text) joined by one
 blank. A stretch of w characters with at most e edits shares at least w + 1 - q(e + 1) of its q-grams
 with the item on diagonals at most e apart. So a text is first scanned for windows with that many
-q-grams of any item; there the q-grams are counted by item and by overlapping bands of e + 1 diagonals;
-bands that meet the bound are aligned within the band.
+q-grams of any item; there the q-grams, as runs along a diagonal, are counted by item and by overlapping
+bands of diagonals; regions of a band that meet the item's bound are aligned within the band, and reported if
+they are as long as a window.
 
 The items are a stated query set: they are broadcast in blocks of at most ITEM_BLOCK characters and
 every text is scanned once a block. Long texts are cut into overlapping pieces, the overlap longer than
@@ -65,7 +66,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[str, str]], min_words: int, edits: int):
         self.ids, self.texts, self.min_words, self.edits = [], [], min_words, edits
-        shortest = None
+        windows = []
         for item_id, text in items:
             t = plain(np.frombuffer(text.lower().encode().replace(b"\0", b" "), np.uint8)).tobytes().strip()
             words = t.split(b" ")
@@ -73,109 +74,186 @@ class ItemIndex:
                 continue
             ends = np.cumsum([len(w) + 1 for w in words])
             runs = np.diff(np.concatenate(([0], ends)))
-            least = int(min(np.convolve(runs, np.ones(min_words, int), "valid")) - 1)
-            shortest = least if shortest is None else min(shortest, least)
+            windows.append(max(Q, int(min(np.convolve(runs, np.ones(min_words, int), "valid")) - 1)))
             self.ids.append(item_id)
             self.texts.append(t)
-        #: the fewest characters of min_words words of any item, and how many q-grams they keep through `edits` edits
-        self.window = max(shortest or 0, Q)
-        self.bound = max(1, self.window + 1 - Q * (edits + 1))
+        #: the fewest characters of min_words words of each item, and how many q-grams they keep through `edits` edits
+        self.windows = np.array(windows or [Q])
+        self.bounds = np.maximum(1, self.windows + 1 - Q * (edits + 1))
+        self.window, self.bound = int(self.windows.min()), int(self.bounds.min())
         self.longest = max(map(len, self.texts), default=0)
-        hashes, of, at = [], [], []
+        hashes, of, at, before, after = [], [], [], [], []
         for k, t in enumerate(self.texts):
             if len(t) >= Q:
                 h = _hashes(np.frombuffer(t, np.uint8))
                 hashes.append(h)
                 of.append(np.full(len(h), k, np.int32))
                 at.append(np.arange(len(h), dtype=np.int32))
+                # the neighbours' hashes; at an item's ends, what differs from any neighbour is found by has_before and has_after
+                before.append(np.concatenate((h[:1], h[:-1])))
+                after.append(np.concatenate((h[1:], h[-1:])))
         if hashes:
             h = np.concatenate(hashes)
             order = np.argsort(h, kind="stable")
             self.hash, self.of, self.at = h[order], np.concatenate(of)[order], np.concatenate(at)[order]
+            self.before, self.after = np.concatenate(before)[order], np.concatenate(after)[order]
+            sizes = np.array([max(0, len(t) + 1 - Q) for t in self.texts])
+            self.is_first, self.is_last = self.at == 0, self.at == sizes[self.of] - 1
+            # by distinct q-gram: its first slot, and whether all its occurrences go on from, and to, one and the same q-gram
+            self.grams, self.slots = np.unique(self.hash, return_index=True)
+            self.counts = np.diff(np.concatenate((self.slots, [len(self.hash)])))
+            alone = lambda own, edge: (np.minimum.reduceat(own, self.slots) == np.maximum.reduceat(own, self.slots)) & ~np.logical_or.reduceat(edge, self.slots)
+            self.one_before, self.one_after = alone(self.before, self.is_first), alone(self.after, self.is_last)
         else:
             self.hash, self.of, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def regions(self, a: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(item, text start, text end, item start, item end, edits) of each verified region of a piece."""
+    def runs(self, a: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, diagonal, first, last) of the runs of consecutive shared q-grams in windows that hold enough q-grams of any item."""
+        nothing = (np.zeros(0, np.int64),) * 4
         if len(a) < Q or not len(self.hash):
-            return
+            return nothing
         h = _hashes(a)
         hit = self.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
-        if not hit.any():
-            return
         # windows of `window` characters hold window + 1 - Q q-grams
         width = min(self.window + 1 - Q, len(hit))
         sums = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
-        starts = np.flatnonzero(sums[width:] - sums[:-width] >= min(self.bound, width))
-        if not len(starts):
-            return
+        starts = sums[width:] - sums[:-width] >= min(self.bound, width)
+        if not starts.any():
+            return nothing
         near = np.zeros(len(hit) + 1, np.int32)
-        np.add.at(near, starts, 1)
-        np.add.at(near, starts + width, -1)
+        near[: len(starts)] += starts
+        near[width : width + len(starts)] -= starts
         where = np.flatnonzero((np.cumsum(near[:-1]) > 0) & hit)
-        lo, hi = np.searchsorted(self.hash, h[where], "left"), np.searchsorted(self.hash, h[where], "right")
-        n = hi - lo
-        pos = np.repeat(where, n)
-        slot = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        item, at = self.of[slot].astype(np.int64), self.at[slot].astype(np.int64)
-        diagonal = pos - at
+        gram = np.minimum(np.searchsorted(self.grams, h[where]), len(self.grams) - 1)
+        known = self.grams[gram] == h[where]
+        where, gram = where[known], gram[known]
+        # a run goes on where text and item have the same next q-gram; the text's neighbours must be looked at as well
+        looked = np.zeros(len(h) + 2, bool)
+        looked[where + 1] = True
+        ends = []
+        for step, one, own, edge in ((-1, self.one_before, "before", "is_first"), (1, self.one_after, "after", "is_last")):
+            other = h[np.clip(where + step, 0, len(h) - 1)]
+            goes_on = looked[where + 1 + step]
+            # where all occurrences go on like the text, no run ends: most of a shared passage
+            open_ = ~(one[gram] & goes_on & (getattr(self, own)[self.slots[gram]] == other))
+            at, n, lo = np.flatnonzero(open_), self.counts[gram[open_]], self.slots[gram[open_]]
+            which = np.repeat(at, n)
+            slot = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(at) else np.zeros(0, np.int64)
+            mask = getattr(self, edge)[slot] | ~goes_on[which] | (other[which] != getattr(self, own)[slot])
+            which, slot = which[mask], slot[mask]
+            i, p = self.of[slot].astype(np.int64), where[which]
+            d = p - self.at[slot]
+            order = np.lexsort((p, d, i))
+            ends.append((i[order], d[order], p[order]))
+        return ends[0][0], ends[0][1], ends[0][2], ends[1][2]
+
+    def regions(self, a: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(item, text start, text end, item start, item end, edits) of each verified region of a piece."""
+        item, diagonal, first, last = self.runs(a)
+        if not len(item):
+            return
+        grams = last - first + 1
+        text = a.tobytes()
         # overlapping bands: every two diagonals at most `edits` apart share one; the item is part of the key
         half = self.edits + 1
+        known = set()
         for shift in range(2 if self.edits else 1):
             band = (diagonal + self.longest + shift * half) // (2 * half if self.edits else 1)
             key = item * (len(a) + 2 * self.longest + 4 * half) + band
-            order = np.lexsort((pos, key))
-            k, p, q = key[order], pos[order], at[order]
-            if not len(k):
-                return
-            # regions: q-grams of one band whose next one is less than a window away
-            apart = self.window if self.edits else 1
-            cut = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] - p[:-1] > apart)) + 1
-            first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(k)]))
-            enough = last - first >= self.bound
-            todo = list(zip(first[enough].tolist(), last[enough].tolist()))
+            # a band without as many q-grams as its item's bound holds nothing
+            _, group = np.unique(key, return_inverse=True)
+            enough = np.bincount(group, grams)[group] >= self.bounds[item]
+            order = np.flatnonzero(enough)[np.lexsort((first[enough], key[enough]))]
+            if not len(order):
+                continue
+            k, it, p, e, g, d = key[order], item[order], first[order], last[order], grams[order], diagonal[order]
+            # regions: runs of one band whose next one is less than a window away
+            cut = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] - e[:-1] > self.windows[it[1:]])) + 1
+            todo = list(zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(k)])).tolist()))
             while todo:
-                s, e = todo.pop()
-                if e - s < self.bound or len(np.unique(p[s:e])) < self.bound:
+                s, stop = todo.pop()
+                own = int(it[s])
+                if int(g[s:stop].sum()) < self.bounds[own]:
                     continue
-                it = int(k[s] // (len(a) + 2 * self.longest + 4 * half))
-                p0, p1, q0, q1 = int(p[s]), int(p[e - 1]) + Q, int(q[s:e].min()), int(q[s:e].max()) + Q
-                edits = banded_distance(a[p0:p1].tobytes(), self.texts[it][q0:q1], self.edits * max(1, (p1 - p0) // self.window))
-                if edits is not None:
-                    yield it, p0, p1, q0, q1, edits
+                p0, p1 = int(p[s]), int(e[s:stop].max()) + Q
+                q0, q1 = p0 - int(d[s:stop].max()), p1 - int(d[s:stop].min())
+                q0, q1 = max(0, min(q0, p0 - int(d[s]))), min(len(self.texts[own]), max(q1, int(e[stop - 1]) + Q - int(d[stop - 1])))
+                if stop - s == 1:
+                    edits = 0
+                else:
+                    q0, q1 = p0 - int(d[s]), int(e[stop - 1]) + Q - int(d[stop - 1])
+                    p1 = int(e[stop - 1]) + Q
+                    edits = banded_distance(text[p0:p1], self.texts[own][q0:q1], self.edits * max(1, (p1 - p0) // int(self.windows[own]))) if q1 > q0 else None
+                if edits is None:  # beyond the budget as a whole: its parts on either side of the widest gap may be within it
+                    widest = int((p[s + 1 : stop] - e[s : stop - 1]).argmax())
+                    todo += [(s, s + 1 + widest), (s + 1 + widest, stop)]
                     continue
-                # beyond the budget as a whole: its parts on either side of the widest gap may be within it
-                gaps = np.diff(p[s:e])
-                widest = int(gaps.argmax())
-                if gaps[widest] > 1:
-                    todo += [(s, s + widest + 1), (s + widest + 1, e)]
+                found = (own, *self._stretched(text, own, p0, p1, q0, q1, edits)) if p1 - p0 < self.windows[own] else (own, p0, p1, q0, q1, edits)
+                if found[2] - found[1] >= self.windows[own] - self.edits and found not in known:
+                    known.add(found)
+                    yield found
+
+    def _stretched(self, text: bytes, own: int, p0: int, p1: int, q0: int, q1: int, edits: int) -> tuple[int, int, int, int, int]:
+        """A region shorter than a window, grown at both ends by the edits that are left to it."""
+        t, left = self.texts[own], self.edits - edits
+        best = None
+        for right in range(max(0, left) + 1):
+            p2, q2, n = grown(text, p1, t, q1, right)
+            back = grown(text[: p0][-2 * self.windows[own] :][::-1], 0, t[:q0][::-1], 0, max(0, left) - right)
+            x = (p0 - back[0], p2, q0 - back[1], q2, edits + n + back[2])
+            best = x if best is None or x[1] - x[0] > best[1] - best[0] else best
+        return best
+
+
+def grown(a: bytes, p: int, b: bytes, q: int, edits: int) -> tuple[int, int, int]:
+    """How far a and b go on alike from p and q with at most `edits` edits: the places they reach, and the edits that it took."""
+    n = common_prefix(a, p, b, q)
+    p, q = p + n, q + n
+    best = (p, q, 0)
+    if edits and p < len(a) and q < len(b) and a[p]:
+        for x, y in ((p + 1, q + 1), (p + 1, q), (p, q + 1)):
+            further = grown(a, x, b, y, edits - 1)
+            if further[0] - p > 1 and further[0] > best[0]:
+                best = (further[0], further[1], further[2] + 1)
+    return best
+
+
+def common_prefix(a: bytes, p: int, b: bytes, q: int) -> int:
+    """How many characters from p in a and q in b are the same."""
+    n, step = 0, 16
+    while a[p + n : p + n + step] == b[q + n : q + n + step] and p + n < len(a) and q + n < len(b):
+        n += min(step, len(a) - p - n, len(b) - q - n)
+        step *= 2
+    for x, y in zip(a[p + n : p + n + step], b[q + n : q + n + step]):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
 def banded_distance(a: bytes, b: bytes, most: int) -> int | None:
-    """Edit distance of a and b along a band of `most` diagonals on either side; None if beyond most."""
+    """Edit distance of a and b along a band of `most` diagonals on either side; None if beyond most.
+
+    Along each diagonal of the band, how far one gets with 0, 1, 2, ... edits.
+    """
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    goal = len(b) - len(a)
+    if abs(goal) > most:
         return None
-    far = most + 1
-    last = {d: abs(d) for d in range(-most, most + 1) if d >= 0}
-    for i in range(1, len(a) + 1):
-        row = {}
-        for d in range(-most, most + 1):
-            j = i + d
-            if j < 0 or j > len(b):
-                continue
-            if j == 0:
-                row[d] = i
-                continue
-            row[d] = min(last.get(d, far) + (a[i - 1] != b[j - 1]), last.get(d + 1, far) + 1, row.get(d - 1, far) + 1)
-        if min(row.values(), default=far) > most:
-            return None
-        last = row
-    x = last.get(len(b) - len(a), far)
-    return x if x <= most else None
+    reach = {0: common_prefix(a, 0, b, 0)}
+    for edits in range(1, most + 1):
+        last, reach = reach, {}
+        for d in range(-edits, edits + 1):  # d = place in b - place in a
+            p = max(last.get(d, -2) + 1, last.get(d + 1, -2) + 1, last.get(d - 1, -2))
+            p = min(p, len(a), len(b) - d)
+            if p >= 0 and p + d >= 0:
+                reach[d] = p + common_prefix(a, p, b, p + d)
+        if reach.get(goal, -1) >= len(a):
+            return edits
+    return None
 
 
 def _whole_words(text: bytes, start: int, end: int) -> int:
@@ -256,7 +334,7 @@ def leak_regions(texts: DataFrame, items: DataFrame, id_col: str = "doc_id", min
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 8, _FOUND)], schema=_FOUND)
 
         part = texts.where(F.col("text").isNotNull() & F.col(id_col).isNotNull()).select(
-            F.col(id_col).cast("long").alias("doc_id"), F.replace("text", F.lit("\x00"), F.lit(" ")).alias("text")
+            F.col(id_col).cast("long").alias("doc_id"), F.lower(F.replace("text", F.lit("\x00"), F.lit(" "))).alias("text")
         ).mapInArrow(scan, "doc_id long, item_id string, text_start int, text_end int, item_start int, item_end int, edits int, run_words int")
         found = part if found is None else found.unionByName(part)
     return found

@@ -92,15 +92,19 @@ def p8_packed(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFr
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    # a run of 13 words is a stretch with no edit at all, so the lemma's bound is exact at an edit budget of 0
-    return eval_leaks.leaked_items(table(spark, d, "documents", spread=True), table(spark, d, "eval_items"), edits=0)
+    return eval_leaks.leaked_items(table(spark, d, "documents", spread=True), table(spark, d, "eval_items"))
+
+
+def p9_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Where each text holds a passage of an item, altered ones included, with the edits between the two."""
+    return eval_leaks.leak_regions(table(spark, d, "documents", spread=True), table(spark, d, "eval_items"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents", spread=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_found, p3_found, p3_pages, p4_found, p4_readable, p5_found, p5_entities, p7_found, p7_survivors, p8_packed, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_pages, p1_sequences, p2_found, p3_found, p3_pages, p4_found, p4_readable, p5_found, p5_entities, p7_found, p7_survivors, p8_packed, p9_found, p9_regions, p10_found)}
 
 # SQL for those that it can express. The others are tested against brute force and stated cases in tests/llm.
 _FOLDED = "translate(lower({}), '" + confusions._FROM + "', '" + confusions._TO + "')"

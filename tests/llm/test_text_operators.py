@@ -217,6 +217,30 @@ def test_leaks_equal_brute_force(spark, edits):
     assert set(got) == brute_leaks(rows, items) and len(got) == len(set(got))
 
 
+def test_altered_passages_are_reported_with_their_edits(spark):
+    words = "harbour quietly lantern seventy marble orchid velvet compass thunder willow anchor meadow saffron pebble".split()
+    item = " ".join(words)
+    altered = item.replace("compass", "compasz")  # no 13 words in a row are left
+    rows = [(1, f"before that {altered} and after"), (2, f"only {' '.join(words[:6])} was taken"), (3, item.upper() + "."), (4, item.replace("velvet", "cotton").replace("willow", "poplar"))]
+    frame = spark.createDataFrame([("i", item)], "item_id string, text string")
+    found = {r.doc_id: (r.edits, r.run_words) for r in eval_leaks.leak_regions(texts(spark, rows), frame).collect()}
+    assert found == {1: (1, 7), 3: (0, 14)}
+    assert pairs(eval_leaks.leaked_items(texts(spark, rows), frame), "doc_id", "item_id") == [(3, "i")]
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_banded_distance_equals_the_full_table(seed):
+    rng = random.Random(seed)
+    a = bytes(rng.choices(b"ab ", k=rng.randint(0, 14)))
+    b = bytes(rng.choices(b"ab ", k=rng.randint(0, 14))) if seed % 2 else a[: rng.randint(0, 14)] + b"a" + a[rng.randint(0, 14) :]
+    t = [[max(i, j) if 0 in (i, j) else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+    for most in range(5):
+        assert eval_leaks.banded_distance(a, b, most) == (t[-1][-1] if t[-1][-1] <= most else None)
+
+
 def test_leak_in_a_very_long_text(spark):
     rng = random.Random(2)
     filler = " ".join("".join(rng.choices("klmnopq", k=6)) for _ in range(60_000))
