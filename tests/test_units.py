@@ -42,11 +42,11 @@ def test_missing_scales_are_predicted(spark):
     assert len(got) == 215
     sure = [r for r in got if r.unit_source == "predicted"]
     assert len(sure) >= 180
-    assert sum(abs(r.amount - true[r.gold_id]) <= 1 for r in sure) >= 0.9 * len(sure)
+    assert sum(abs(r.amount - true[r.gold_id]) <= 1 for r in sure) >= 0.95 * len(sure)
     assert all(r.amount is None for r in got if r.unit_source == "review")
 
 
 def test_training_is_bounded(spark):
     rows = spark.range(400).select(F.col("id").cast("string").alias("gold_id"), F.lit("d").alias("document_name"), F.col("id").cast("string").alias("revenue_value"), F.lit("EUR").alias("currency"), F.when(F.col("id") % 3 > 0, F.when(F.col("id") % 3 == 1, "ones").otherwise("millions")).alias("scale"), F.lit(None).cast("string").alias("notes"))
     read = units.read_amounts(rows)
-    assert units.predict_scales(read, "gold_id", "document_name", trees=3, train_rows=50).count() == 134
+    assert units.predict_scales(read, "gold_id", trees=3, train_rows=50).count() == 134
