@@ -23,6 +23,8 @@ from finstrata.llm.symmetric_delete import SymmetricDeleteIndex, deletes, weight
 
 NONE = "none"
 MAX_BROADCAST = 50_000
+#: What a typed text that may have an edit leaves without it is at least so long; shorter deletes meet nothing.
+SHORTEST = 3
 #: Words that a typed name may carry besides the entry (fixed values).
 _AROUND = re.compile(r"\b(?:division|segment|segments|business|unit|external|internal|total|sparte|secteur|segmento|settore|segmentet)\b")
 _NUMBERING = re.compile(r"^\s*(?:\(?[a-z0-9]{1,2}[.)]|[ivx]{1,4}[.)]|\d+(?:\.\d+)*[.)]?|[-•*–])\s+", re.I)
@@ -74,14 +76,31 @@ def limit_of(text: str) -> float:
     return 0.0 if n < 4 else 1.0 if n < 9 else 2.0
 
 
+def _initials(words: list[str]) -> str:
+    """What an abbreviation has in common with its label: the number of words and their first letters, or the beginning of the only word."""
+    return "a:" + (words[0][:5] if len(words) == 1 else " ".join(w[:1] for w in words))
+
+
+def _aids(index: SymmetricDeleteIndex, labels: dict[str, str]) -> tuple[dict[str, list[str]], set[str]]:
+    """The labels by their initials, and the codes: made once for an index and its labels."""
+    if getattr(index, "aids", None) is None or index.aids[0] is not labels:
+        by_initials: dict[str, list[str]] = {}
+        for label in labels:
+            if label:
+                by_initials.setdefault(_initials(label.split()), []).append(label)
+        index.aids = labels, by_initials, set(labels.values())
+    return index.aids[1:]
+
+
 def best_name(text: str, index: SymmetricDeleteIndex, labels: dict[str, str]) -> str:
     best: list[tuple[float, float, str]] = []
     for form in name_forms(text):
         best += index.lookup(form, limit_of(form))
     if best:
         return min(best)[2]
+    by_initials, _ = _aids(index, labels)
     for form in name_forms(text):
-        keys = {k for label, k in labels.items() if abbreviates(form, label)}
+        keys = {labels[label] for label in by_initials.get(_initials(form.split()), ()) if abbreviates(form, label)}
         if len(keys) == 1:
             return keys.pop()
     return NONE
@@ -120,7 +139,7 @@ def read_code(text: str, codes: set[str]) -> str | None:
 
 def best_class(text: str, index: SymmetricDeleteIndex, labels: dict[str, str]) -> str:
     """A class code: by its notation, by a code beside a name, or by the name alone."""
-    codes = set(labels.values())
+    codes = _aids(index, labels)[1]
     whole = read_code(text, codes)
     if whole:
         return whole
@@ -149,24 +168,20 @@ def resolve(values: DataFrame, reference: DataFrame, best: Callable[[str, Symmet
         for batch in batches:
             yield pd.DataFrame({"value": batch["value"], "ref_key": [best(v, index, labels) for v in batch["value"]]})
 
-    return distinct.mapInPandas(look_up, "value string, ref_key string")
-
-
-def _initials(words: list[str]) -> str:
-    """What an abbreviation has in common with its label: the number of words and their first letters, or the beginning of the only word."""
-    return "a:" + (words[0][:5] if len(words) == 1 else " ".join(w[:1] for w in words))
+    # few values make one partition of little data, but each of them takes a while
+    return distinct.repartition(spark.sparkContext.defaultParallelism).mapInPandas(look_up, "value string, ref_key string")
 
 
 def _value_keys(value: str, most: int) -> list[str]:
     """The keys of all labels that a value may mean: within edits, as an abbreviation, by a code in it."""
     forms = {f for x in (value, _CODE_BESIDE.sub(" ", value)) for f in name_forms(x)}
     codes = {c for x in (value, *_CODE_PART.findall(value)) for c in code_readings(x)}
-    return sorted({f"d:{d}" for f in forms for d in deletes(f, most)} | {_initials(f.split()) for f in forms} | {f"c:{c}" for c in codes})
+    return sorted({f"d:{d}" for f in forms for d in deletes(f, min(most, int(limit_of(f) + 0.999)))} | {_initials(f.split()) for f in forms} | {f"c:{c}" for c in codes})
 
 
 def _label_keys(label: str, key: str, most: int) -> list[str]:
     text = words_only(label)
-    return sorted({f"d:{d}" for d in deletes(text, most)} | ({_initials(text.split())} if text else set()) | {f"c:{key}"})
+    return sorted({f"d:{d}" for d in deletes(text, most) if len(d) >= SHORTEST or d == text} | ({_initials(text.split())} if text else set()) | {f"c:{key}"})
 
 
 def resolve_by_join(distinct: DataFrame, listed: DataFrame, most: int = 2, best: Callable[[str, SymmetricDeleteIndex, dict[str, str]], str] = best_name) -> DataFrame:

@@ -43,7 +43,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
         ("segment_name_original", segments, catalogue, catalogue.select("label"), canonical_values.best_name),
         ("nace_code", codes, classes, nodes.select(F.col("node_code").alias("label")), canonical_values.best_class),
     ):
-        typed = rows.where(F.col("value").isNotNull()).join(F.broadcast(exact), F.col("value") == F.col("label"), "left_anti")
+        typed = rows.where(F.col("value").isNotNull()).join(exact, F.col("value") == F.col("label"), "left_anti")
         answers = canonical_values.resolve(typed, _labels(rows, reference), best)
         parts.append(typed.join(answers, "value").select(F.lit(field).alias("field_name"), "row_key", "ref_key"))
     return parts[0].unionByName(parts[1])
