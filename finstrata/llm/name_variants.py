@@ -81,8 +81,27 @@ def _in_order(word: str, letters: str) -> bool:
     return all(c in rest for c in letters)
 
 
+def aside_of(name: str, vocabulary: list[str]) -> str | None:
+    """What a name gives in brackets as another name of its own: no legal form and no common word."""
+    for inner in re.findall(r"\(([^()]*)\)", name):
+        words = [w for w in tokens_of(inner) if w not in LEGAL and w not in _ASIDE]
+        if words and any(generic_word(w, vocabulary) is None for w in words) and re.search(r"[^\W\d_]{3}", inner):
+            return inner.strip()
+    return None
+
+
+def initials_of(name: str, vocabulary: list[str]) -> str:
+    """The first letters of a name's words without legal forms; of a name that is such letters itself, these."""
+    words = [w for w in tokens_of(re.sub(r"\([^)]*\)", " ", name)) if w not in LEGAL]
+    if len(words) == 1:
+        raw = re.findall(r"[^\W\d_]+", re.sub(r"\b[A-Z][A-Za-z]?[./]\S*", " ", name))
+        own = [w for w in raw if w.lower() == words[0]]
+        return words[0] if own and own[0].isupper() and 3 <= len(own[0]) <= 6 and generic_word(words[0], vocabulary) is None else ""
+    return "".join(w[0] for w in words if w not in ("and", "the", "of"))
+
+
 def read_name(name: str, vocabulary: list[str]) -> tuple[str, str, bool, str]:
-    """(core, line of business, is a short name, core as typed) of a typed company name."""
+    """(core, line of business, is a short name, core as typed) of a typed company name. Own words count in any order."""
     outside = re.sub(r"\(([^)]*)\)", " ", name)
     words = [w for w in tokens_of(outside) if w not in LEGAL]
     raw = [w for w in re.findall(r"[^\W\d_]+", outside) if _ALIAS.match(w)]
@@ -95,7 +114,7 @@ def read_name(name: str, vocabulary: list[str]) -> tuple[str, str, bool, str]:
     if not own and words:
         own = [max(words, key=len)]
     lines = sorted({g for w, g in generic.items() if g and w not in own and g not in QUALIFIERS})
-    core = " ".join(own)
+    core = " ".join(sorted(own))
     return core_key(core), " ".join(lines), False, core
 
 
@@ -123,18 +142,24 @@ def common_words(names: DataFrame) -> list[str]:
 
 
 def read_names(names: DataFrame) -> DataFrame:
-    """name -> name, core, line, alias, typed."""
+    """name -> name, core, line, alias, typed, initials, is_initials, and the core, line and alias of the other name it gives in brackets."""
     vocabulary = LINES + QUALIFIERS
     vocabulary = vocabulary + [w for w in common_words(names) if generic_word(w, vocabulary) is None and not LEGAL_PHRASES.search(w) and w not in LEGAL_WORDS]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [read_name(n, vocabulary) for n in batch["name"]]
-            yield pd.DataFrame({"name": batch["name"], "core": [r[0] for r in rows], "line": [r[1] for r in rows], "alias": [r[2] for r in rows], "typed": [r[3] for r in rows]})
+            rows = []
+            for n in batch["name"]:
+                other = aside_of(n, vocabulary)
+                aka = read_name(other, vocabulary)[:3] if other else (None, None, None)
+                initials = initials_of(n, vocabulary)
+                rows.append((n, *read_name(n, vocabulary), initials, bool(initials) and [w for w in tokens_of(n) if w not in LEGAL] == [initials], *aka))
+            yield pd.DataFrame(rows, columns=_READ_COLUMNS)
 
-    return names.mapInPandas(read, "name string, core string, line string, alias boolean, typed string")
+    return names.mapInPandas(read, "name string, core string, line string, alias boolean, typed string, initials string, is_initials boolean, aka_core string, aka_line string, aka_alias boolean")
 
 
+_READ_COLUMNS = ["name", "core", "line", "alias", "typed", "initials", "is_initials", "aka_core", "aka_line", "aka_alias"]
 LEGAL_WORDS = frozenset("societa per azioni societas europaea societe anonyme public limited company naamloze vennootschap aktiengesellschaft aktieselskab".split())
 
 
@@ -183,6 +208,14 @@ def variant_links(forms: DataFrame) -> DataFrame:
     return misspelt.unionByName(single)
 
 
+def initial_links(read: DataFrame) -> DataFrame:
+    """a, b: a name that is the initials of one company's words, and that company; of several companies', it is linked to none."""
+    own = read.where("is_initials").select(F.col("form").alias("a"), "initials").distinct()
+    full = read.where(~F.col("is_initials") & (F.length("initials") >= 3)).select("initials", F.col("form").alias("b"), "core", "line").distinct()
+    met = own.join(full, "initials").groupBy("a").agg(F.min("b").alias("b"), F.min("core").alias("c0"), F.max("core").alias("c1"), F.min("line").alias("l0"), F.max("line").alias("l1"))
+    return met.where("c0 = c1 AND l0 = l1").select("a", "b")
+
+
 def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, label: the smallest node of each component, by propagating labels until none changes."""
     both = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
@@ -205,9 +238,12 @@ def company_entities(documents: DataFrame, name_col: str = "company_name") -> Da
     """name, entity: every distinct name with the label of the company it means."""
     names = documents.where(F.col(name_col).isNotNull()).select(F.col(name_col).alias("name")).distinct()
     form = F.xxhash64("core", "line", "alias")
-    read = cut(read_names(names).withColumn("form", F.when(F.length("core") > 0, form).otherwise(F.xxhash64("name"))))
+    read = cut(read_names(names.repartition(names.sparkSession.sparkContext.defaultParallelism)).withColumn("form", F.when(F.length("core") > 0, form).otherwise(F.xxhash64("name"))))
     forms = read.where(F.length("core") > 0).groupBy("form", "core", "line", "alias").agg(F.min("typed").alias("typed"))
-    labels = connected(variant_links(forms))
+    # another name given in brackets is linked where it stands alone as well
+    bracketed = read.where(F.length("aka_core") > 0).select(F.col("form").alias("a"), F.xxhash64("aka_core", "aka_line", "aka_alias").alias("b")).where("a <> b").distinct()
+    bracketed = bracketed.join(forms.select(F.col("form").alias("b")), "b", "left_semi").select("a", "b")
+    labels = connected(variant_links(forms).unionByName(bracketed).unionByName(initial_links(read)))
     return read.join(labels, read["form"] == labels["node"], "left").select("name", F.coalesce("label", "form").alias("entity"))
 
 

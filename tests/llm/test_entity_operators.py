@@ -97,6 +97,8 @@ COMPANIES = [
     ["Linfirmelzör Materials and Sons A/S", "Linfirmelzoer Materials & Sons AS", "Linfirmezlör Materials and Sons A/S", "Linfirmelzor Mat. + Sons a/s"],
     ["Vafolpellor Engineering Group PLC", "Vafolpellor Engg. Grp. P.L.C.", "Vafolpellor Engineering Group Public Limited Company (group)"],
     ["Records Office Omnibus"],
+    ["Zorvan Mellick Mining", "Mellick Zorvan Mining Ltd", "ZMM plc", "MINING ZORVAN MELLICK"],
+    ["Robert Halden Shipping (Bobal Shipping)", "Bobal Shipping Ltd", "Halden Robert Shipping AG"],
 ]
 
 
