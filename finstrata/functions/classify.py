@@ -41,14 +41,14 @@ def _row_type(n: Column, negative: Column) -> Column:
 
 
 def segment_type(name: Column, evidence: Column | None = None) -> Column:
-    """geography, customer, multi_activity, product_segment, single_activity or mixed_or_unclear."""
+    """geographic_segment, customer_segment, multi_activity, product_segment, single_activity or mixed_or_unclear."""
     about = english_meaning(evidence) if evidence is not None else F.lit(None).cast("string")
     return let(F.struct(english_meaning(name).alias("n"), about.alias("about")), lambda x: _segment_type(x["n"], F.concat_ws(" ", x["n"], x["about"])))
 
 
 def _segment_type(n: Column, both: Column) -> Column:
     return (
-        F.when((n == "") | n.isin("other", "others", "miscellaneous"), "mixed_or_unclear").when(contains_any(n, GEOGRAPHIES), "geography").when(contains_any(n, CUSTOMERS), "customer")
+        F.when((n == "") | n.isin("other", "others", "miscellaneous"), "mixed_or_unclear").when(contains_any(n, GEOGRAPHIES), "geographic_segment").when(contains_any(n, CUSTOMERS), "customer_segment")
         .when(contains_any(F.concat(F.lit(" "), n, F.lit(" ")), MIXED), "multi_activity").when(contains_any(n, PRODUCTS) & ~contains_any(n, ACTIVITIES), "product_segment")
         .when(contains_any(both, ACTIVITIES), "single_activity").otherwise("mixed_or_unclear")
     )

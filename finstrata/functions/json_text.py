@@ -50,3 +50,12 @@ def schema_errors(text: Column, names: list[str]) -> Column:
     absent = F.transform(F.array_except(wanted, keys), lambda k: F.concat(F.lit("missing "), k))
     extra = F.transform(F.array_except(keys, wanted), lambda k: F.concat(F.lit("extra "), k))
     return F.when(keys.isNull(), F.array(F.lit("invalid"))).otherwise(F.concat(absent, extra))
+
+
+def value_errors(text: Column, shares: list[str] = (), texts: list[str] = ()) -> Column:
+    """What is wrong with a JSON object's values: 'not a share x' (a number from 0 to 1), 'empty y' (a text with more than blanks); keys that are missing are schema_errors()' matter."""
+    at = lambda k: F.get_json_object(text, f"$.{k}")
+    number = lambda k: at(k).try_cast("double")
+    wrong = [F.when(at(k).isNotNull() & ~F.coalesce(number(k).between(0, 1), F.lit(False)), F.lit(f"not a share {k}")) for k in shares]
+    wrong += [F.when(at(k).isNotNull() & (F.trim(at(k)) == ""), F.lit(f"empty {k}")) for k in texts]
+    return F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>")

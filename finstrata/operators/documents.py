@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from finstrata.functions import classify, money
-from finstrata.functions.text import contains_any, english_meaning, fold_ascii, label_language, nonblank_lines, squeeze
+from finstrata.functions.text import contains_any, english_meaning, fold_ascii, label_language, let, nonblank_lines, squeeze
 
 LEGAL_LINE = r"(?i)\b(plc|inc|ltd|se|ag|s\.p\.a|a/s|n\.v|s\.a|gmbh)\b"
 HEADINGS = ("consolidated financial statements", "financial statements")
@@ -187,6 +187,26 @@ def denominators(documents: DataFrame, rows: DataFrame) -> DataFrame:
     return j.select("id", F.coalesce(reported, "stated", "parts").cast("decimal(38,6)").alias("denominator"), F.when(reported.isNotNull(), "reported").when(F.col("stated").isNotNull(), "stated").when(F.col("parts").isNotNull(), "parts").otherwise("none").alias("origin"))
 
 
+# Labels of revenue as a whole, disclosures that aren't about segments, and the headings of segment notes.
+GENERIC_REVENUE = ["external revenue", "net revenue", "net revenues", "net sales", "revenue", "revenues", "sales", "total consolidated revenue", "total consolidated revenues", "turnover"]
+NOT_SEGMENTS = [
+    "accounting and reporting developments", "accounting changes", "accounting standard", "allocation table", "climate impact", "emissions", "collateral", "coverage ratio", "credit risk", "default portfolio",
+    "energy consumption", "energy intensity", "energy usage", "energy mix", "eu taxonomy", "fasb", "fuel consumption", "green asset portfolio", "green financing", "taxonomy",
+]
+SEGMENT_NOTES = r"\b(note\s+\d+\s+segment information|primary segmentation|reporting segments|operating segments|reportable segments|segment reporting)\b"
+
+
+def rejection(name: Column, metric: Column, evidence: Column, section: Column, page: Column) -> Column:
+    """Why an extracted row is no segment's revenue: 'generic_revenue', 'other_disclosure', or null."""
+    plain = lambda c: fold_ascii(F.coalesce(c, F.lit("")))
+    n, all_ = plain(name), plain(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(evidence, F.lit("")), section, page))
+
+    def generic(m: Column) -> Column:
+        return n.isin(*GENERIC_REVENUE) & ((m == "") | contains_any(m, ["not a segment", "not segment", "consolidated revenue"]) | (n == m))
+
+    return F.when(generic(plain(metric)), "generic_revenue").when(let(all_, lambda t: generic(t)), "generic_revenue").when(let(all_, lambda t: contains_any(t, NOT_SEGMENTS) & ~t.rlike(SEGMENT_NOTES)), "other_disclosure")
+
+
 # Kinds of failure that a labeller's note names, tried in this order.
 NOTE_FAILURES = [("non_english_issue", ["non-english", "non english", "translation", "language"]), ("scanned_ocr_issue", ["ocr", "scanned", "scan"]), ("nace_ambiguity", ["nace", "classification ambiguity"]), ("table_parsing_error", ["table parsing", "table_parse", "column alignment"])]
 

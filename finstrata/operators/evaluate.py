@@ -10,9 +10,11 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from finstrata.functions.text import alnum_words
+from finstrata.runtime import cut
 
 
 def singular(words: Column) -> Column:
@@ -55,17 +57,24 @@ def candidate_pairs(gold: DataFrame, predicted: DataFrame, key: str, similarity:
     as_part = lambda c: F.when(c.isNull(), 0.5).when(c, 1.0).otherwise(0.0).cast("decimal(4,2)")
     joined = gold.join(predicted, key)
     score = similarity * F.lit(0.55).cast("decimal(4,2)") + F.when(value_ok, 0.25).otherwise(0.0).cast("decimal(4,2)") + F.when(period_ok, 0.15).otherwise(0.0).cast("decimal(4,2)") + as_part(page_ok) * F.lit(0.05).cast("decimal(4,2)")
-    scored = joined.select(key, "gold_id", "pred_id", similarity.alias("similarity"), F.round(score, 6).cast("decimal(10,6)").alias("score"), F.coalesce(value_ok, F.lit(False)).alias("value_ok"), F.coalesce(period_ok, F.lit(False)).alias("period_ok"))
+    scored = joined.select(key, "gold_id", "pred_id", similarity.alias("similarity"), F.round(score, 6).cast("decimal(10,6)").alias("score"), F.coalesce(value_ok, F.lit(False)).alias("value_ok"), F.coalesce(period_ok, F.lit(False)).alias("period_ok"), page_ok.alias("page_ok"))
     return scored.where((F.col("similarity") >= floor) & (F.col("score") >= least))
 
 
 def greedy_matches(pairs: DataFrame, key: str) -> DataFrame:
-    """The pairs kept when the best score goes first and no row is used twice; ties by gold, then predicted id."""
-    element = "struct<s:decimal(10,6),g:string,p:string>"
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).cast("decimal(10,6)").alias("s"), F.col("gold_id").alias("g"), F.col("pred_id").alias("p"))))
-    kept = F.aggregate(ordered, F.array().cast(f"array<{element}>"), lambda acc, x: F.when(F.exists(acc, lambda k: (k["g"] == x["g"]) | (k["p"] == x["p"])), acc).otherwise(F.concat(acc, F.array(x))))
-    chosen = pairs.groupBy(key).agg(kept.alias("kept")).select(key, F.explode("kept").alias("x")).select(key, F.col("x.g").alias("gold_id"), F.col("x.p").alias("pred_id"))
-    return chosen.join(pairs, [key, "gold_id", "pred_id"])
+    """The pairs kept when the best score goes first and no row is used twice; ties by gold, then predicted id.
+
+    In rounds: a pair that is the best of both its rows is kept, whatever else is; its rows' other pairs go. No document is ever
+    gathered in one place.
+    """
+    order = F.struct((-F.col("score")).alias("s"), "gold_id", "pred_id")
+    left, kept = cut(pairs), None
+    while not left.isEmpty():
+        ranked = left.withColumns({"_g": F.min(order).over(W.partitionBy(key, "gold_id")), "_p": F.min(order).over(W.partitionBy(key, "pred_id"))})
+        best = cut(ranked.where((F.col("_g") == F.col("_p")) & (F.col("_g.gold_id") == F.col("gold_id")) & (F.col("_g.pred_id") == F.col("pred_id"))).drop("_g", "_p"))
+        kept = best if kept is None else kept.unionByName(best)
+        left = cut(left.join(best.select(key, "gold_id"), [key, "gold_id"], "left_anti").join(best.select(key, "pred_id"), [key, "pred_id"], "left_anti").select(*pairs.columns))
+    return (left if kept is None else kept).select(key, "gold_id", "pred_id", *[c for c in pairs.columns if c not in (key, "gold_id", "pred_id")])
 
 
 def outcomes(gold: DataFrame, predicted: DataFrame, matches: DataFrame, key: str) -> DataFrame:
@@ -85,10 +94,21 @@ def metrics(results: DataFrame) -> DataFrame:
     return counted.select("correct", "n_predicted", "n_gold", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
+def quality(matches: DataFrame, predicted: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row of what P, R and F1 don't say.
+
+    matches: value_ok, page_ok, has_value of matched pairs. predicted: edited. documents: reconciled, issues, seconds, each null where unknown.
+    Accuracies count the pairs that can be checked; rates are 0 where nothing can, seconds are null.
+    """
+    share = lambda hit, all_: F.round(F.coalesce(F.try_divide(F.count_if(hit), F.count_if(all_)), F.lit(0.0)), 6)
+    m = matches.agg(F.count(F.lit(1)).alias("n_matched"), share(F.col("value_ok") & F.col("has_value"), F.col("has_value")).alias("value_accuracy"), share(F.col("page_ok"), F.col("page_ok").isNotNull()).alias("page_accuracy"))
+    p = predicted.agg(share(F.col("edited"), F.lit(True)).alias("edit_rate"))
+    d = documents.agg(share(F.col("reconciled"), F.col("reconciled").isNotNull()).alias("reconciliation_pass_rate"), F.round(F.coalesce(F.avg("issues"), F.lit(0.0)), 6).alias("issues_per_document"), F.round(F.avg("seconds"), 3).alias("seconds_per_document"))
+    return m.join(p).join(d)  # three tables of one row each
+
+
 def failure_examples(results: DataFrame, most: int = 5) -> DataFrame:
     """failure, n, and the first `most` ids of each failure."""
-    from pyspark.sql import Window as W
-
     some = results.where(F.col("failure") != "none").withColumn("example", F.coalesce("gold_id", "pred_id"))
     counts = some.groupBy("failure").agg(F.count(F.lit(1)).alias("n"))
     first = some.withColumn("k", F.row_number().over(W.partitionBy("failure").orderBy("example"))).where(F.col("k") <= most)

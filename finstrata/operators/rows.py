@@ -85,8 +85,10 @@ def dedup_neighbouring(df: DataFrame, keys: Sequence[str], page: str, order: str
     return df.groupBy(*keys).agg(kept.alias("_kept")).select(*keys, F.explode("_kept").alias("_x")).select(*keys, F.col("_x.o").alias(order), F.col("_x.p").alias(page))
 
 
-def first_occurrences(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Each row with which occurrence of its key it is, and the order value of the first."""
+def first_occurrences(df: DataFrame, keys: Sequence[str], order: str, exempt: Column | None = None) -> DataFrame:
+    """Each row with which occurrence of its key it is, and the order value of the first. Exempt rows (totals, say) are left out and counted for none."""
+    if exempt is not None:
+        df = df.where(~F.coalesce(exempt, F.lit(False)))
     w = W.partitionBy(*keys).orderBy(order)
     return df.withColumns({"occurrence": F.row_number().over(w), "first_seen": F.min(order).over(W.partitionBy(*keys))})
 
@@ -121,27 +123,36 @@ def near_pages(left: DataFrame, right: DataFrame, key: str, page: str, width: in
     return left.join(band, [key, page], "left_semi")
 
 
-def select_with_neighbours(df: DataFrame, key: str, page: str, score: str, limit: int = 15, threshold: float = 4.0) -> DataFrame:
-    """Greedy choice of pages above 0: by falling score; a page of at least `threshold` brings the pages beside it that score above 0.
+def chosen_with_neighbours(df: DataFrame, key: str, page: str, score: str, limit: int = 15, threshold: float = 4.0, factor: float = 0.35) -> DataFrame:
+    """key, page, place (in order of choice), beside and score of a greedy choice of pages above 0.
 
-    Folds over (page, score) pairs of one document, which are small; scores are compared as given.
+    By falling score; a page of at least `threshold` brings the pages beside it that score above 0. `beside` names the
+    page that brought one; such a page scores at least `factor` times what that page does. Of several rows of a page the best counts.
+    Folds over (page, score) pairs of one document, which are small.
     """
-    pairs = df.where(F.col(page).isNotNull()).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("neg"), F.col(page).cast("int").alias("page")))).alias("ranked")
-    )
-    scores = F.map_from_entries(F.transform("ranked", lambda x: F.struct(x["page"], -x["neg"])))
+    best = df.where(F.col(page).isNotNull()).groupBy(key, F.col(page).cast("int").alias("_page")).agg(F.max(score).alias("_score"))
+    pairs = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("_score")).alias("neg"), F.col("_page").alias("page")))).alias("ranked"))
+    scores = F.map_from_entries(F.transform(F.filter("ranked", lambda x: x["neg"].isNotNull()), lambda x: F.struct(x["page"], -x["neg"])))
+    element = "array<struct<page:int,beside:int>>"
 
-    def add(chosen: Column, number: Column, allowed: Column) -> Column:
-        fits = allowed & (F.size(chosen) < limit) & ~F.array_contains(chosen, number)
-        return F.when(fits, F.concat(chosen, F.array(number))).otherwise(chosen)
+    def add(chosen: Column, number: Column, beside: Column, allowed: Column) -> Column:
+        fits = allowed & (F.size(chosen) < limit) & ~F.exists(chosen, lambda c: c["page"] == number)
+        return F.when(fits, F.concat(chosen, F.array(F.struct(number.alias("page"), beside.alias("beside"))).cast(element))).otherwise(chosen)
 
     def step(chosen: Column, x: Column) -> Column:
-        beside = lambda k: x["page"] + k
-        around = F.array(F.struct(x["page"].alias("n"), (-x["neg"] > 0).alias("ok")), *[
-            F.struct(beside(k).alias("n"), ((-x["neg"] >= threshold) & (F.coalesce(F.try_element_at(F.col("scores"), beside(k)), F.lit(0.0)) > 0)).alias("ok")) for k in (-1, 1)
+        own = F.lit(None).cast("int")
+        around = F.array(F.struct(x["page"].alias("n"), own.alias("by"), (-x["neg"] > 0).alias("ok")), *[
+            F.struct((x["page"] + k).alias("n"), x["page"].alias("by"), ((-x["neg"] >= threshold) & (F.coalesce(F.try_element_at(F.col("scores"), x["page"] + k), F.lit(0.0)) > 0)).alias("ok")) for k in (-1, 1)
         ])
         # a page that came in beside another one brings no neighbours of its own
-        return F.when(F.array_contains(chosen, x["page"]), chosen).otherwise(F.aggregate(around, chosen, lambda c, y: add(c, y["n"], y["ok"])))
+        return F.when(F.exists(chosen, lambda c: c["page"] == x["page"]), chosen).otherwise(F.aggregate(around, chosen, lambda c, y: add(c, y["n"], y["by"], y["ok"])))
+
+    chosen = F.aggregate("ranked", F.array().cast(element), step)
+    out = pairs.withColumn("scores", scores).select(key, "scores", F.posexplode(chosen).alias("_i", "_x"))
+    own, brought = F.try_element_at("scores", F.col("_x.page")), F.round(F.try_element_at("scores", F.col("_x.beside")) * factor, 3)
+    return out.select(key, F.col("_x.page").alias(page), (F.col("_i") + 1).alias("place"), F.col("_x.beside").alias("beside"), F.round(F.greatest(own, brought), 3).alias("score"))
 
-    chosen = F.aggregate("ranked", F.array().cast("array<int>"), step)
-    return pairs.withColumn("scores", scores).select(key, F.explode(chosen).alias(page))
+
+def select_with_neighbours(df: DataFrame, key: str, page: str, score: str, limit: int = 15, threshold: float = 4.0) -> DataFrame:
+    """key, page of chosen_with_neighbours()."""
+    return chosen_with_neighbours(df, key, page, score, limit, threshold).select(key, page)

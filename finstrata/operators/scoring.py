@@ -36,6 +36,15 @@ def cascade(keys: Sequence[tuple[str, Column, Mapping[str, float]]], default: fl
     return F.struct(F.coalesce(value, F.lit(default)).alias("score"), F.coalesce(source, F.lit("default")).alias("source"))
 
 
+def limited_by_confidence(effect: Column, confidence: Column, severe: Column | None = None, worst: float = 1.0) -> Column:
+    """An effect held within what its confidence allows: 0.1 below 0.5, 0.25 below 0.8, else 0.5; a sure and severe harm up to `worst`. No confidence counts as 0.5; no effect stays none."""
+    c = F.coalesce(confidence, F.lit(0.5))
+    limit = F.when(c < 0.5, 0.1).when(c < 0.8, 0.25).otherwise(0.5)
+    if severe is not None:
+        limit = F.when((effect > 0) & F.coalesce(severe, F.lit(False)) & (c >= 0.8), worst).otherwise(limit)
+    return F.when(effect.isNotNull(), F.round(F.greatest(F.least(effect, limit), -limit), 6))
+
+
 def clustered_sum(df: DataFrame, key: str, cluster: str, effect: Column, tie: Sequence[str], low: float, high: float) -> DataFrame:
     """key, total, n_clusters: the strongest effect of each cluster, added up and held within [low, high]."""
     e = effect.cast("decimal(12,6)")

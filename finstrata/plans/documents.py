@@ -117,7 +117,7 @@ k AS (SELECT *, coalesce({_cur('revenue_raw')}, {_cur('c0')}) AS oc, {_cur('c1')
 SELECT id, coalesce(oc, dc) AS currency, coalesce(os, ds) AS scale, CASE WHEN period_label IS NULL OR t = '' THEN NULL WHEN y IS NOT NULL THEN 'FY' || y ELSE t END AS period, pg AS page, CAST(v * {_TIMES.format(s="coalesce(os, ds)", e='NULL')} AS DECIMAL(38,6)) AS value,
 array_to_string(list_filter([CASE WHEN v IS NULL THEN 'value missing' END, CASE WHEN oc IS NULL AND dc IS NOT NULL THEN 'currency inferred' END, CASE WHEN oc IS NULL AND dc IS NULL THEN 'currency missing' END, CASE WHEN os IS NULL AND ds IS NOT NULL THEN 'scale inferred' END, CASE WHEN os IS NULL AND ds IS NULL THEN 'scale missing' END, CASE WHEN y IS NULL THEN 'period missing' END, CASE WHEN pg IS NULL THEN 'page missing' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM k""",
     "classification_defaults": f"""WITH m AS (SELECT *, {_M} AS m, trim(regexp_replace(lower(strip_accents(segment_name)), '\\s+', ' ', 'g')) AS p FROM segment_rows)
-SELECT id, coalesce(nullif(trim(row_type), ''), {_kind('m', 'normalized_value')}) AS row_type, coalesce(nullif(trim(segment_type), ''), CASE WHEN m IN ('', 'other', 'others', 'miscellaneous') THEN 'mixed_or_unclear' WHEN {_any('m', classify.GEOGRAPHIES)} THEN 'geography' WHEN {_any('m', classify.CUSTOMERS)} THEN 'customer' WHEN {_any("(' ' || m || ' ')", classify.MIXED)} THEN 'multi_activity' WHEN {_any('m', classify.PRODUCTS)} AND NOT {_any('m', classify.ACTIVITIES)} THEN 'product_segment' WHEN {_any('m', classify.ACTIVITIES)} THEN 'single_activity' ELSE 'mixed_or_unclear' END) AS segment_type,
+SELECT id, coalesce(nullif(trim(row_type), ''), {_kind('m', 'normalized_value')}) AS row_type, coalesce(nullif(trim(segment_type), ''), CASE WHEN m IN ('', 'other', 'others', 'miscellaneous') THEN 'mixed_or_unclear' WHEN {_any('m', classify.GEOGRAPHIES)} THEN 'geographic_segment' WHEN {_any('m', classify.CUSTOMERS)} THEN 'customer_segment' WHEN {_any("(' ' || m || ' ')", classify.MIXED)} THEN 'multi_activity' WHEN {_any('m', classify.PRODUCTS)} AND NOT {_any('m', classify.ACTIVITIES)} THEN 'product_segment' WHEN {_any('m', classify.ACTIVITIES)} THEN 'single_activity' ELSE 'mixed_or_unclear' END) AS segment_type,
 coalesce(nullif(trim(segment_name_normalized), ''), m) AS segment_name_normalized, coalesce(nullif(trim(language), ''), CASE WHEN m = '' THEN NULL {" ".join(f"WHEN {_any('p', h)} THEN '{c}'" for c, h in LANGUAGE_HINTS)} ELSE 'en' END) AS language FROM m""",
     "next_page_lead": "SELECT id, CASE WHEN lead(page_number) OVER w = page_number + 1 THEN lead(id) OVER w END AS next_id FROM parsed_pages WINDOW w AS (PARTITION BY document_id ORDER BY page_number, id)",
     "findings_by_name": "WITH l AS (SELECT document_id, lower(segment_name) AS n, max(id) AS row_id FROM segment_rows GROUP BY 1, 2) SELECT p.row_id AS finding_id, l.row_id, CASE WHEN l.row_id IS NULL THEN 'document' ELSE 'row' END AS level FROM prepared_rows p LEFT JOIN l ON l.document_id = p.document_id AND l.n = lower(p.segment_name)",

@@ -140,7 +140,7 @@ a AS (SELECT id, nullif(e, 0) AS e, coalesce(nullif(e, 0), reported_total) AS t,
 SELECT id, CAST(t AS DECIMAL(38,6)) AS target_total, CASE WHEN e IS NOT NULL THEN 'explicit' WHEN t IS NOT NULL THEN 'reported' ELSE 'none' END AS total_source, CAST(p AS DECIMAL(38,6)) AS part_sum, CAST(p - t AS DECIMAL(38,6)) AS difference, CASE WHEN t IS NULL OR p IS NULL THEN 'not_available' WHEN abs(p - t) <= greatest(1, abs(CAST(t AS DOUBLE)) * 0.005) THEN 'matched' ELSE 'failed' END AS status FROM a""",
     "row_type_classify": f"WITH m AS (SELECT id, normalized_value AS v, {_meaning('segment_name_original')} AS m, {_FOLD.format('segment_name_original')} AS f FROM segment_rows) SELECT id, {_kind('m', 'v')} AS row_kind, f IN ('total', 'total revenue', 'total revenues', 'total income', 'grand total', 'group total') OR starts_with(f, 'total ') OR ends_with(f, ' total') AS total_label FROM m",
     "segment_type_classify": f"""WITH m AS (SELECT id, {_meaning('segment_name_original')} AS m, {_meaning('metric_basis')} AS e FROM segment_rows), b AS (SELECT id, m, concat_ws(' ', m, e) AS c FROM m)
-SELECT id, CASE WHEN m IN ('', 'other', 'others', 'miscellaneous') THEN 'mixed_or_unclear' WHEN {_any('m', classify.GEOGRAPHIES)} THEN 'geography' WHEN {_any('m', classify.CUSTOMERS)} THEN 'customer' WHEN {_any("(' ' || m || ' ')", classify.MIXED)} THEN 'multi_activity' WHEN {_any('m', classify.PRODUCTS)} AND NOT {_any('m', classify.ACTIVITIES)} THEN 'product_segment' WHEN {_any('c', classify.ACTIVITIES)} THEN 'single_activity' ELSE 'mixed_or_unclear' END AS segment_kind FROM b""",
+SELECT id, CASE WHEN m IN ('', 'other', 'others', 'miscellaneous') THEN 'mixed_or_unclear' WHEN {_any('m', classify.GEOGRAPHIES)} THEN 'geographic_segment' WHEN {_any('m', classify.CUSTOMERS)} THEN 'customer_segment' WHEN {_any("(' ' || m || ' ')", classify.MIXED)} THEN 'multi_activity' WHEN {_any('m', classify.PRODUCTS)} AND NOT {_any('m', classify.ACTIVITIES)} THEN 'product_segment' WHEN {_any('c', classify.ACTIVITIES)} THEN 'single_activity' ELSE 'mixed_or_unclear' END AS segment_kind FROM b""",
     "validation_issues": f"""WITH m AS (SELECT *, {_meaning('segment_name')} AS m FROM segment_rows)
 SELECT id, document_id, 'missing_value' AS issue_type, 'error' AS severity FROM m WHERE normalized_value IS NULL UNION ALL SELECT id, document_id, 'missing_page', 'warning' FROM m WHERE page_ref IS NULL UNION ALL SELECT id, document_id, 'missing_currency', 'warning' FROM m WHERE currency IS NULL
 UNION ALL SELECT id, document_id, 'missing_period', 'warning' FROM m WHERE period_label IS NULL UNION ALL SELECT id, document_id, 'updated_before_created', 'warning' FROM m WHERE updated_at < created_at UNION ALL SELECT id, document_id, 'negative_total', 'error' FROM m WHERE {_kind('m', 'NULL')} = 'total' AND normalized_value < 0""",

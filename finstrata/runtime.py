@@ -13,6 +13,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="finstrata-checkpoint-"))
 
 

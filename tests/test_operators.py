@@ -198,3 +198,41 @@ def test_taxonomy_ratio_against_a_plain_restatement(spark):
     assert tidy(got) == tidy(expected) and ("0", "n0") in tidy(got)
     stated = {(i, n): s for i, n, s in expected}
     assert all(abs(s - stated[i, n]) < 0.002 for i, n, s in got)
+
+
+def test_pages_brought_by_a_strong_page(spark):
+    scored = spark.createDataFrame([("d", 5, 6.0), ("d", 5, 2.0), ("d", 6, 1.0), ("d", 4, 0.0), ("d", 9, 3.0), ("d", 10, 0.5), ("d", None, 9.0), ("e", 1, None)], "document_id string, page_number int, score double")
+    got = [tuple(r) for r in rows.chosen_with_neighbours(scored, "document_id", "page_number", "score").orderBy("place").collect()]
+    assert got == [("d", 5, 1, None, 6.0), ("d", 6, 2, 5, 2.1), ("d", 9, 3, None, 3.0), ("d", 10, 4, None, 0.5)]
+    assert rows.chosen_with_neighbours(scored.limit(0), "document_id", "page_number", "score").count() == 0
+
+
+def test_greedy_matching_in_rounds_is_the_greedy_one(spark):
+    import random
+
+    from finstrata.operators import evaluate
+
+    rng = random.Random(6)
+    pairs = [(f"d{rng.randint(0, 2)}", f"g{g}", f"p{p}", rng.randint(1, 5) / 5) for g in range(12) for p in range(12) if rng.random() < 0.5]
+    pairs = [(d[:1] + str(int(g[1:]) % 2), g, p, s) for d, g, p, s in pairs]
+    want, used = set(), set()
+    for d, g, p, s in sorted(pairs, key=lambda x: (-x[3], x[1], x[2])):
+        if (d, g) not in used and (d, "p", p) not in used:
+            want.add((d, g, p))
+            used |= {(d, g), (d, "p", p)}
+    frame = spark.createDataFrame(pairs, "document_id string, gold_id string, pred_id string, score double")
+    assert {(r.document_id, r.gold_id, r.pred_id) for r in evaluate.greedy_matches(frame, "document_id").collect()} == want
+    assert evaluate.greedy_matches(frame.limit(0), "document_id").count() == 0
+
+
+def test_rejections_effects_and_answers(spark):
+    from finstrata.functions import json_text
+    from finstrata.operators import documents, scoring
+
+    df = spark.createDataFrame([(1, "Revenue", None, None), (2, "Wind", None, "CO2 emissions by site"), (3, "Wind", None, "Operating segments: emissions"), (4, "Net  Sales", "net sales", None), (5, "Net Sales", "by segment", None), (6, None, None, None)], "id int, n string, m string, p string")
+    none = F.lit(None).cast("string")
+    assert {r.id: r.x for r in df.select("id", documents.rejection(F.col("n"), F.col("m"), none, none, F.col("p")).alias("x")).collect()} == {1: "generic_revenue", 2: "other_disclosure", 3: None, 4: "generic_revenue", 5: None, 6: None}
+    effects = spark.createDataFrame([(0.9, 0.3, False), (0.9, 0.6, True), (0.9, 0.9, True), (-0.9, 0.9, True), (0.2, None, None), (None, 0.9, True)], "e double, c double, s boolean")
+    assert [r.x for r in effects.select(scoring.limited_by_confidence(F.col("e"), F.col("c"), F.col("s")).alias("x")).collect()] == [0.1, 0.25, 0.9, -0.5, 0.2, None]
+    answers = spark.createDataFrame([('{"c": 1.5, "t": " "}',), ('{"c": "high", "t": "x"}',), ('{"c": 1}',), ("no json",), (None,)], "a string")
+    assert [r.x for r in answers.select(json_text.value_errors(F.col("a"), ["c"], ["t"]).alias("x")).collect()] == [["not a share c", "empty t"], ["not a share c"], [], [], []]
