@@ -229,7 +229,7 @@ def test_rejections_effects_and_answers(spark):
     from finstrata.functions import json_text
     from finstrata.operators import documents, scoring
 
-    df = spark.createDataFrame([(1, "Revenue", None, None), (2, "Wind", None, "CO2 emissions by site"), (3, "Wind", None, "Operating segments: emissions"), (4, "Net  Sales", "net sales", None), (5, "Net Sales", "by segment", None), (6, None, None, None)], "id int, n string, m string, p string")
+    df = spark.createDataFrame([(1, "Revenue", None, None), (2, "Wind", None, "CO2 emissions by site"), (3, "Wind", None, "Operating segments: emissions"), (4, "Net  Sales", "net sales", None), (5, "Net Sales", "by segment", "Net sales of each segment"), (6, None, None, None)], "id int, n string, m string, p string")
     none = F.lit(None).cast("string")
     assert {r.id: r.x for r in df.select("id", documents.rejection(F.col("n"), F.col("m"), none, none, F.col("p")).alias("x")).collect()} == {1: "generic_revenue", 2: "other_disclosure", 3: None, 4: "generic_revenue", 5: None, 6: None}
     effects = spark.createDataFrame([(0.9, 0.3, False), (0.9, 0.6, True), (0.9, 0.9, True), (-0.9, 0.9, True), (0.2, None, None), (None, 0.9, True)], "e double, c double, s boolean")
