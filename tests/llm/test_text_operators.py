@@ -356,3 +356,29 @@ def test_packing_is_settled_by_the_data(spark):
     held = packing.pack_shard([(str(k), 0) for k in range(7)], np.array(sizes), [[ord(w)] for w in "ababacc"], [[1]] * 7, 8)
     assert sorted(k for c in held for k in c) == list(range(7))
     assert held[0] == [0, 2] and all(sum(sizes[k] for k in c) <= 8 for c in held)
+
+
+def test_packing_counts_every_token(spark):
+    import os
+
+    if not os.path.exists(TOKENIZER):
+        pytest.skip("no tokenizer here")
+    encode = packing.encoder(TOKENIZER)
+    words = [f" {a}{b}{c}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"]
+    one = {ids[0]: w for w, ids in zip(words, encode(words)) if len(ids) == 1}
+    by_hash = [one[t] for t in sorted(one, key=lambda t: t * 2654435761 & 0xFFFFFFFF)]
+    assert len(by_hash) >= 640
+    # 2 shares 80 tokens with 1; 3 shares 20, those of smallest hash; 4 has nothing in common
+    rows = [(1, "".join(by_hash[:20] + by_hash[300:420])), (2, "".join(by_hash[340:420])), (3, "".join(by_hash[:20] + by_hash[150:210])), (4, "".join(by_hash[420:640]))]
+    packed = packing.pack(texts(spark, rows), 221, TOKENIZER).collect()
+    beside = {r.container: set() for r in packed}
+    for r in packed:
+        beside[r.container].add(r["item"])
+    assert sorted(map(sorted, beside.values())) == [["1", "2"], ["3"], ["4"]]
+    # counts are whole, and a rest has those of its own tokens
+    long = "".join(by_hash[:300] * 2 + by_hash[300:310] * 3)
+    sizes = {r.capacity: r for r in packing.sized(texts(spark, [(1, long)]), TOKENIZER, capacities=[600, 630, 1000]).collect()}
+    assert set(sizes) == {0, 600}
+    for capacity, expected in ((0, encode([long])[0]), (600, encode([long])[0][600:])):
+        _, tokens, counts = packing.unpacked([bytes(sizes[capacity].bag)])
+        assert dict(zip(tokens.tolist(), counts.tolist())) == {t: expected.count(t) for t in expected}
