@@ -5,7 +5,8 @@ marked tokens such as {{ name }} or [insert amount] with the words around them,
 function word (filler). Small aggregations then align what is alike:
   * sentences are one template if they are equal without what may fill a slot: numbers, names, marked tokens, bare
     names of variables, defaults. A place that most sentences of a template fill, and not all alike, is a slot; a
-    sentence that has a mark, a name of a variable, a default or nothing there was left unfilled;
+    sentence that has a mark, a name of a variable, a default or nothing there was left unfilled; sentences and
+    marks may be of any length;
   * a marked token is an unfilled slot if the text around it varies from record to record, if one sentence of its
     template is filled in its place, or if its form is a name; other tokens that always stand in the same words are
     template text (footnote marks in a fixed sentence, an example of a data format), however often they are seen;
@@ -35,13 +36,13 @@ from finstrata.runtime import cut
 
 # Forms that only templates use: a name between doubled or paired marks (fixed patterns), each searched where its first characters occur.
 _STRONG = [(first, re.compile(pattern)) for first, pattern in (
-    ("{{", r"\{\{\s*[\w.\- ]*\s*\}\}"), ("{%", r"\{%.{0,80}?%\}"), ("${", r"\$\{[\w.\- ]*\}"), ("<%", r"<%.{0,80}?%>"), ("%", r"%%\w+%%|(?<![\w%])%[A-Z][A-Z_]{2,}%"), ("@@", r"@@\w+@@"),
+    ("{{", r"\{\{\s*[\w.\- ]*\s*\}\}"), ("{%", r"\{%(?:(?!\{%|%\}).)*%\}"), ("${", r"\$\{[\w.\- ]*\}"), ("<%", r"<%(?:(?!<%|%>).)*%>"), ("%", r"%%\w+%%|(?<![\w%])%[A-Z][A-Z_]{2,}%"), ("@@", r"@@\w+@@"),
     ("__", r"(?<!\w)__[A-Za-z]\w*?__(?!\w)|_{4,}"), ("[[", r"\[\[[\w .\-]+\]\]"), ("<<", r"<<[\w .\-]+>>"), ("#", r"#REF!|#NAME\?|#VALUE!|#DIV/0!|#N/A\b"), ("«", r"«[\w .\-]{1,40}»(?=[ .,;:)\]]|$)"),
     ("{", r"\{\d{1,2}\}"), ("$", r"(?<![\w$])\$[A-Z][A-Z_]{3,}\$"), ("X", r"(?<!\w)X{2,}[.,]X+(?!\w)"),
-    ("[", r"\[[^\[\]]{0,30}\b(?i:insert|tbc|tbd|to be (?:completed|confirmed|added|filled)|placeholder|einfügen|insérer|insertar|inserire|invoegen|indsæt)\b[^\[\]]{0,30}\]|\[[•●▪◦…_]+\]"),
+    ("[", r"\[[^\[\]]{0,30}\b(?i:insert|tbc|tbd|to be (?:completed|confirmed|added|filled)|placeholder|einfügen|insérer|insertar|inserire|invoegen|indsæt)\b[^\[\]]*\]|\[[•●▪◦…_]+\]"),
 )]
 # Forms that may also be ordinary: judged by whether the words around them vary.
-_WEAK = re.compile(r"\[[^\[\]\n]{0,40}\]|<[A-Za-z][\w .\-]{0,30}>|\{[\w .\-]{1,40}\}|«[^«»\n]{1,40}»|(?<![\w.])X{2,}(?![\w.])|\bT(?:BC|BD|ODO)\b")
+_WEAK = re.compile(r"\[[^\[\]\n]*\]|<[A-Za-z][\w .\-]*>|\{[\w .\-]+\}|«[^«»\n]{1,40}»|(?<![\w.])X{2,}(?![\w.])|\bT(?:BC|BD|ODO)\b")
 _MARKUP = re.compile(r"^</?(?:p|br|b|i|u|em|strong|a|div|span|li|ul|ol|td|tr|th|table|h[1-6]|sup|sub|small|html|body|head|title|img|hr|pre|code|blockquote)(?:\s[^>]*)?/?>$", re.I)
 _FOOTNOTE = re.compile(r"^\[(?:\d{1,3}|[a-z]|sic|\.{3}|…)\]$")
 
@@ -69,15 +70,18 @@ _NOUN = r"(?:amount|value|name|company|issuer|currency|date|year|period|figure|n
 _MARK = re.compile(rf"{_WEAK.pattern}|(?<!\w)(?:{_BARE}|{_DEFAULT})(?!\w)")
 _NOUNS = re.compile(_NOUN, re.I)
 _PLAIN = re.compile(r"[^\W\d_]+")
-#: Sentences of so many characters and fixed words are aligned.
-ALIGNED_CHARS, ALIGNED_WORDS = 400, 4
+_VISIBLE = re.compile(r"\S+")
+#: Sentences of so many fixed words are a template for error pages too; shorter ones only have their slots aligned.
+ALIGNED_WORDS = 4
 
-HARD, SLOT, SEGMENT, ALIGNED, CONSTANT = 0, 1, 2, 3, 4
+HARD, SLOT, SEGMENT, ALIGNED, CONSTANT, SHORT = 0, 1, 2, 3, 4, 5
 _ROWS = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("token", pa.string()), ("context", pa.string()), ("whole", pa.bool_())])
 #: A segment stands in place of content where it makes up this share of its record.
 PAGE_SHARE = 0.25
 #: Constant filler has at most so many words, and this share of its occurrences (two at least) make up FILLER_WHOLE of a record.
 FILLER_WORDS, FILLER_SHARE, FILLER_WHOLE = 7, 0.05, 0.1
+#: A marked token so long may be told by its form alone; a longer one may be an aside, and what stands around or elsewhere in its place tells.
+NAME_CHARS = 42
 #: Marked tokens of nothing but units and references are no slots in constant words (fixed values).
 NO_SLOT = r"(?i)^\W*(?:(?:see|in|of|and|note|table|page|figure|eur|usd|gbp|chf|dkk|sek|nok|m|mn|bn|million|millions|billion|thousand|unaudited|audited|restated)\b[\W#]*)+$"
 
@@ -114,11 +118,11 @@ def _token(token: str) -> tuple[str, tuple[str, ...]]:
     return "", tuple(_PLAIN.findall(token.lower()))
 
 
-def aligned(sentence: str) -> tuple[int, list[str]] | None:
+def aligned(sentence: str) -> tuple[int, list[str], int] | None:
     """A sentence's template, and what stands between its fixed words, as 'place kind value': place is the number of words before it.
 
     Kinds: filled, marked, bare (name of a variable, default, quotation), noun (a common name of a variable alone) or both (a filling with such a noun);
-    last comes the number of fixed words.
+    last comes the number of fixed words. It is given once more beside them; without fixed words nothing can be aligned.
     """
     if "[" in sentence or "{" in sentence or "<" in sentence or "«" in sentence:
         sentence = _WEAK.sub(lambda m: m.group().replace(" ", "\x1f"), sentence)
@@ -131,14 +135,28 @@ def aligned(sentence: str) -> tuple[int, list[str]] | None:
             found[at].append((kind, token))
         else:
             found[at] = [(kind, token)]
-    if len(words) < ALIGNED_WORDS:
+    if not words:
         return None
     places = []
     for at, own in found.items():
         kinds = {k for k, _ in own}
         kind = own[0][0] if len(kinds) == 1 else "marked" if "marked" in kinds else "bare" if "bare" in kinds else "both"
         places.append(f"{at} {kind} {crc32(' '.join(v for _, v in own).encode())}")
-    return _hash(" ".join(words)), [*places, f"{len(words)} all 0"]
+    return _hash(" ".join(words)), [*places, f"{len(words)} all 0"], len(words)
+
+
+def _word_before(text: str, end: int) -> list[str]:
+    """The last word before a position, if there is one."""
+    while end and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return [text[start:end]] if end else []
+
+
+def _word_after(text: str, start: int) -> list[str]:
+    return [m.group()] if (m := _VISIBLE.search(text, start)) else []
 
 
 def scan_text(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
@@ -150,8 +168,7 @@ def scan_text(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
             token = m.group()
             if _MARKUP.match(token) or _FOOTNOTE.match(token):
                 continue
-            before, after = text[max(0, m.start() - 60) : m.start()].split()[-1:], text[m.end() : m.end() + 60].split()[:1]
-            yield SLOT, 0, _DIGITS.sub("#", token), _DIGITS.sub("#", " ".join([*before, "□", *after])), False
+            yield SLOT, 0, _DIGITS.sub("#", token), _DIGITS.sub("#", " ".join([*_word_before(text, m.start()), "□", *_word_after(text, m.end())])), False
     for x in _PROSE.split(text):
         if FUNCTION_WORDS.isdisjoint(x.lower().split()) and _is_filler(x):
             yield HARD, 0, "", "", False
@@ -161,10 +178,13 @@ def scan_text(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
         if not x or _NEUTRAL.match(x):
             continue
         whole = len(x) >= PAGE_SHARE * len(text)
-        if len(x) <= ALIGNED_CHARS and (a := aligned(x)):
+        a = aligned(x)
+        if a and a[2] >= ALIGNED_WORDS:
             yield ALIGNED, a[0], "", "|".join(a[1]), whole
         else:
             yield SEGMENT, _hash(template_of(x)), "", "", whole
+            if a:
+                yield SHORT, a[0], "", "|".join(a[1]), whole
         if x.count(" ") < FILLER_WORDS and len(x) > 3 and not any(map(str.isdigit, x)):
             yield CONSTANT, _hash(x.lower()), "", "", len(x) >= FILLER_WHOLE * len(text)
 
@@ -189,7 +209,8 @@ def judge(seen: DataFrame, min_records: int, whole_share: float, fixed_share: fl
     slots = seen.where(F.col("kind") == SLOT).select("doc_id", "token", "context")
     contexts = slots.groupBy("token", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
     # in constant words the form tells, at every count: a slot unless it is empty, quotes a value or is a unit or reference
-    slot_keys = contexts.where((F.col("top") < F.col("n") * fixed_share) | (F.col("token").rlike(r"[A-Z]{2}|\w \w|_|XX") & ~F.col("token").rlike(NO_SLOT))).select("token")
+    named = (F.length("token") <= NAME_CHARS) & F.col("token").rlike(r"[A-Z]{2}|\w \w|_|XX") & ~F.col("token").rlike(NO_SLOT)
+    slot_keys = contexts.where((F.col("top") < F.col("n") * fixed_share) | named).select("token")
     segments = seen.where(F.col("kind").isin(SEGMENT, ALIGNED, CONSTANT)).select("doc_id", "source", "kind", "key", "whole")
     counted = segments.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("w"), (F.min("source") < F.max("source")).alias("spread")).where((F.col("n") >= 3) & F.col("spread"))
     # the least share that is likely for so many of so few (95 %, by Wilson): 3 of 3 pass, 3 of 6 don't
@@ -202,7 +223,7 @@ def judge(seen: DataFrame, min_records: int, whole_share: float, fixed_share: fl
 
 def unfilled(seen: DataFrame, min_records: int, slot_share: float = 0.9) -> DataFrame:
     """doc_id of the records whose sentence has no value where others of its template have one."""
-    sentences = seen.where(F.col("kind") == ALIGNED).select("doc_id", "key", "context")
+    sentences = seen.where(F.col("kind").isin(ALIGNED, SHORT)).select("doc_id", "key", "context")
     places = sentences.select("doc_id", "key", F.explode(F.split("context", r"\|")).alias("p")).select(
         "doc_id", "key", F.split_part("p", F.lit(" "), F.lit(1)).cast("int").alias("place"), F.split_part("p", F.lit(" "), F.lit(2)).alias("what"), F.split_part("p", F.lit(" "), F.lit(3)).cast("long").alias("value")
     )

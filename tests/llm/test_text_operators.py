@@ -313,6 +313,28 @@ def test_residue_in_constant_words_at_every_count(spark, times):
     assert [x[0] for x in pairs(residue.residue(texts(spark, rows)), "doc_id")] == [*range(times), *range(2000, 2000 + times)]
 
 
+def test_residue_of_sentences_and_marks_of_any_length(spark):
+    prose = "The board of the company expects that sales will rise in the coming year. " * 40
+    found = lambda rows: [x[0] for x in pairs(residue.residue(texts(spark, [(k, prose + x) for k, x in rows])), "doc_id")]
+    rest = "and the plan was kept by the group " * 12
+    said = lambda v: f"The revenue of {v}million was reported by the board {rest}in the year."
+    assert len(said("")) > 400
+    # a slot of a long sentence, and of one with two fixed words
+    rows = [(k, said(f"{k * 7 + 3} ")) for k in range(20)] + [(100, said("")), (101, said("segment_total ")), (102, said("undefined ")), (103, said("several "))]
+    assert found(rows) == [100, 101, 102]
+    rows = [(k, f"Sales reached {k * 7 + 3} million.") for k in range(20)] + [(200, "Sales reached million."), (201, "Sales reached segment_total million."), (202, "Sales reached several million.")]
+    assert found(rows) == [200, 201]
+    # long marks: an instruction or a tag by its form, a name by what others have in its place, an aside not at all
+    mark = "[amount of revenue that the segment reported in the year]"
+    marked = [
+        (300, f"The revenue of {mark} million was reported by the board."), (301, "It was signed by [insert the name of the issuer as it stands in the register of companies] in the year."),
+        (302, "It rose {% if segment.revenue is defined and segment.currency is defined and segment.year is defined %} in the year."), (303, "It rose [the figures of the year before were restated by the group] in the year."),
+    ]
+    assert found([(k, f"The revenue of {k * 7 + 3} million was reported by the board.") for k in range(20)] + marked) == [300, 301, 302]
+    assert found(marked[:1]) == []
+    assert [x[3] for x in residue.scan_text("w" * 100 + " " * 70 + "[client]" + " " * 70 + "v" * 100) if x[0] == residue.SLOT] == ["w" * 100 + " □ " + "v" * 100]
+
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
